@@ -1,6 +1,8 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
 from .simhash import op3_simhash_dedup
+from .spans import op10_sentence_spans
+from .suffix import op4_suffix_dedup
 
-QUERIES = {"op3_simhash_dedup": op3_simhash_dedup}
+QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op4_suffix_dedup, op10_sentence_spans)}
 ORACLE_SQL: dict[str, str] = {}
