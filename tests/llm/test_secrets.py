@@ -1,0 +1,66 @@
+import hashlib
+import math
+import random
+import re
+
+from factloom.llm import secrets
+
+PATTERNS = (
+    ("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 2, 12),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
+    ("hex", re.compile(r"[0-9a-f]+"), 0, 16),
+)
+
+
+def slow_entropy(s):
+    best = 0
+    for i in range(len(s) - 19):
+        w = s[i : i + 20]
+        best = max(best, -sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)))
+    return best
+
+
+def slow(t):
+    base = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(PATTERNS) for m in p.finditer(t) if len(m.group(g)) >= n)
+    more = []
+    for m in re.finditer(secrets.CANDIDATE, t):
+        s = m.group()
+        if any(b < m.end() and m.start() < e for b, _, e in base) or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or re.search(secrets.ALLOWED.replace("(?i)", ""), s):
+            continue
+        if slow_entropy(s) >= secrets.THRESHOLDS["hex" if re.fullmatch("[0-9a-fA-F]+", s) else "mixed"]:
+            more.append((m.start(), 3, m.end()))
+    say = lambda spans: ",".join(f"{('assign', 'access', 'hex', 'entropy')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    return base, say(base), say(base + more)
+
+
+def texts():
+    rng = random.Random(8)
+    secret = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    bits = ["é𝔘 text ", "token: secret: abcdefghijklmnop ", "Token = key=abcdefghijkl ", "PASSWORD='hunter2' ", 'api_key" : "', "apikey=", "\nüber ", "AKIA", "0123456789abcdef", "deadbeef" * 5, " ", "my_long_identifier_in_words ", "2024-01-01-2024-01-02-x ", "a" * 25 + "1 "]
+    made = lambda: rng.choice([rng.choice(bits), secret(rng.randint(10, 50), alnum), secret(rng.randint(10, 40), "0123456789abcdef"), "AKIA" + secret(rng.randint(8, 20), alnum[:26] + "0123456789")])
+    return ["".join(made() for _ in range(rng.randint(1, 9))) for _ in range(300)] + ["", "tokenſ: abcdefghijklmnop", "toKen:abcdefghijklmnop", "x " * 4000 + "secret=abcdefghijkl"]
+
+
+def test_same_as_brute_force(spark, tmp_path):
+    rows = [*enumerate(texts()), (900, None), (None, "secret=abcdefghijkl"), (901, "token=abcdefghijkl"), (901, "token=abcdefghijkl")]
+    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, spans int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = secrets.op8_secret_scans(spark, str(tmp_path)).collect()
+    want = []
+    for d, t in rows:
+        base, one, two = slow(t or "")
+        want.append((str(d), *(sum(k == i for _, k, _ in base) for i in range(3)), hashlib.sha256(one.encode()).hexdigest(), two))
+    assert sorted((str(r.doc_id), *r[1:]) for r in got) == sorted(want)
+    assert any("entropy" in w[-1] for w in want)
+
+
+def test_mask(spark):
+    rows = [(1, "é token=abcdefghijkl0123456789abcdef end", 0), (2, None, 0), (3, "clean", 5)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_chars long, secret_base string")
+    got = secrets.mask_secrets(spark, df, "")
+    assert got.columns == df.columns
+    assert [tuple(r)[:3] for r in got.orderBy("doc_id").collect()] == [(1, "é [SECRET] end", 14), (2, None, 0), (3, "clean", 5)]
+
+
+def test_empty(spark):
+    assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
