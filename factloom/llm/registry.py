@@ -1,10 +1,11 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
 from .mixing import op9_source_mixing
+from .packing import op5_window_packing
 from .secrets import op8_secret_scans
 from .simhash import op3_simhash_dedup
 from .spans import op10_sentence_spans
 from .suffix import op4_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op4_suffix_dedup, op8_secret_scans, op9_source_mixing, op10_sentence_spans)}
+QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op4_suffix_dedup, op5_window_packing, op8_secret_scans, op9_source_mixing, op10_sentence_spans)}
 ORACLE_SQL: dict[str, str] = {}
