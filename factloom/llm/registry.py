@@ -6,7 +6,8 @@ from .secrets import op8_secret_scans
 from .simhash import op3_simhash_dedup
 from .spans import op10_sentence_spans
 from .suffix import op4_suffix_dedup
+from .topk import op6_exact_top_k
 from .warc import op1_warc_records
 
-QUERIES = {f.__name__: f for f in (op1_warc_records, op3_simhash_dedup, op4_suffix_dedup, op5_window_packing, op8_secret_scans, op9_source_mixing, op10_sentence_spans)}
+QUERIES = {f.__name__: f for f in (op1_warc_records, op3_simhash_dedup, op4_suffix_dedup, op5_window_packing, op6_exact_top_k, op8_secret_scans, op9_source_mixing, op10_sentence_spans)}
 ORACLE_SQL: dict[str, str] = {}
