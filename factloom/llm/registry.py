@@ -1,6 +1,7 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
 from .mixing import op9_source_mixing
+from .multi_index import op2_multi_index_dedup
 from .packing import op5_window_packing
 from .secrets import op8_secret_scans
 from .simhash import op3_simhash_dedup
@@ -9,5 +10,5 @@ from .suffix import op4_suffix_dedup
 from .topk import op6_exact_top_k
 from .warc import op1_warc_records
 
-QUERIES = {f.__name__: f for f in (op1_warc_records, op3_simhash_dedup, op4_suffix_dedup, op5_window_packing, op6_exact_top_k, op8_secret_scans, op9_source_mixing, op10_sentence_spans)}
+QUERIES = {f.__name__: f for f in (op1_warc_records, op2_multi_index_dedup, op3_simhash_dedup, op4_suffix_dedup, op5_window_packing, op6_exact_top_k, op8_secret_scans, op9_source_mixing, op10_sentence_spans)}
 ORACLE_SQL: dict[str, str] = {}
