@@ -1,10 +1,10 @@
 """Every query of the engine by name, with the SQL it is compared with."""
 
-from .plans import fact_queries, graph_queries
+from .plans import fact_queries, graph_queries, text_queries
 
 FLAGSHIP = "blast_radius"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for part in (graph_queries, fact_queries):
+for part in (graph_queries, fact_queries, text_queries):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL
