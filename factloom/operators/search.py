@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import settle
 
 K1, B = 1.2, 0.75
 
@@ -17,6 +18,7 @@ def bm25(docs: DataFrame, key: str, text: str, wanted: list[str]) -> DataFrame:
     needs no inverted index: one pass yields length and counts, one row of totals is broadcast."""
     words = T.tokens(F.col(text))
     counts = docs.select(F.col(key), words.alias("_w")).select(key, F.size("_w").alias("_len"), *(F.size(_equal("_w", t)).alias(f"_c{i}") for i, t in enumerate(wanted)))
+    counts = settle(counts)  # narrow: the texts are split once, not once for the totals and again for the scores
     totals = counts.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count(F.when(F.col(f"_c{i}") > 0, 1)).alias(f"_d{i}") for i in range(len(wanted))))
     x = counts.where(" or ".join(f"_c{i} > 0" for i in range(len(wanted)))).join(F.broadcast(totals), F.lit(True))
     score = F.lit(0.0)
