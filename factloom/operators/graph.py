@@ -24,7 +24,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -
     visited; the frontier is distinct before each join, so hubs are expanded once a seed.
     """
     near, far = ("target", "source") if reverse else ("source", "target")
-    steps = edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct()
+    steps = settle(edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct())
     visited = seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0))
     frontier = visited
     for level in range(1, clamp_depth(depth) + 1):
@@ -40,7 +40,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     One path is kept for each node and level, which is enough: a smaller prefix of the same length
     makes a smaller path.
     """
-    steps = edges.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct()
+    steps = settle(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct())
     visited = seeds.select("seed", "node").distinct().select("seed", "node", F.lit(0).alias("depth"), F.array("node").alias("path"))
     frontier = visited
     for level in range(1, clamp_depth(depth) + 1):

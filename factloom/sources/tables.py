@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,13 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint, in the folder the session names.
+    """Cut lineage: write the frame to the shared folder that the session names, and read it back.
 
-    Iterative operators read a level several times; without a cut each level would be
-    computed again by all later ones. Only a session without a folder gets a local one.
+    Iterative operators read a level several times; without a cut each level would be computed again
+    by all later ones. A written table survives lost executors, and its size lets the planner
+    broadcast what is small. Only a session without a folder gets a local one.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001, S110  the session may be gone already
+        pass
