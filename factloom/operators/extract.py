@@ -96,8 +96,24 @@ class Python(ast.NodeVisitor):
         for b in node.bases:
             self.add("inheritance", text_of(b), f"{self.scope}.{node.name}", "EXTENDS", node.lineno)
         self.model(node)
+        self.fields(node)
         self.nested(node, "class")
 
+    def fields(self, node):
+        """Input fields of a class that validates data: annotated names, with what Field(...) says."""
+        if not any(text_of(b).split(".")[-1] in ("BaseModel", "SQLModel", "Schema") for b in node.bases) and not any("dataclass" in text_of(d) for d in node.decorator_list):
+            return
+        for s in node.body:
+            if not isinstance(s, ast.AnnAssign) or not isinstance(s.target, ast.Name):
+                continue
+            kind, value = text_of(s.annotation), s.value
+            optional = "Optional[" in kind or "None" in kind
+            call = isinstance(value, ast.Call) and text_of(value.func).split(".")[-1] in ("Field", "field")
+            words = {k.arg: text_of(k.value) for k in value.keywords} if call else {}
+            given = text_of(value.args[0]) if call and value.args else words.get("default", words.get("default_factory", "..." if call else text_of(value)))
+            base = re.sub(r"Optional\[(.*)\]|\s*\|\s*None|None\s*\|\s*", lambda m: m[1] or "", kind)
+            self.add("fields", s.target.id, f"{self.scope}.{node.name}", base, s.lineno, required=given in ("", "...") and not (optional and given == ""), nullable=optional, most=words.get("max_length", ""), default="" if given == "..." else given)
+
     def model(self, node):
         """Columns of a class that names its table."""
         table = next((s.value.value for s in node.body if isinstance(s, ast.Assign) and text_of(s.targets[0]) == "__tablename__" and isinstance(s.value, ast.Constant)), None)
@@ -303,6 +319,7 @@ def fact(facts: DataFrame, kind: str) -> DataFrame:
         "routes": lambda: [c("path"), extra("framework").alias("framework"), c("detail").alias("method"), c("name").alias("route"), extra("handler").alias("handler"), c("line"), c("owner")],
         "mounts": lambda: [c("path"), c("owner").alias("parent"), c("name").alias("child"), c("detail").alias("prefix"), c("line")],
         "tables": lambda: [c("path"), c("owner").alias("table_name"), c("name").alias("column_name"), c("detail").alias("data_type"), (extra("nullable") == "True").alias("nullable"), (extra("primary") == "True").alias("primary_key"), extra("target").alias("target"), extra("model").alias("model"), c("line")],
+        "fields": lambda: [c("path"), c("owner").alias("model"), c("name").alias("field"), c("detail").alias("data_type"), (extra("required") == "True").alias("required"), (extra("nullable") == "True").alias("nullable"), extra("most").try_cast("int").alias("max_length"), extra("default").alias("default"), c("line")],
         "queries": lambda: [c("path"), c("owner").alias("caller"), c("name").alias("sql"), c("line")],
     }
     if kind in made:
