@@ -31,6 +31,19 @@ ORACLE_SQL: dict[str, str] = {
                case when d.page_id > f.first_id then 'revisit' else 'response' end as record_type,
                case when d.page_id > f.first_id then f.first_id end as refers_to
         from d left join f using (digest)""",
+    "op4_suffix_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+        w as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from (select doc_id, h, unnest(range(0, n - 49)) as i from d)),
+        m as (select s, min(doc_id) as low from w group by s),
+        o as (select w.doc_id, i, case when i - lag(i) over (partition by w.doc_id order by i) <= 50 then 0 else 1 end as new from w join m on m.s = w.s where w.doc_id > m.low),
+        r as (select doc_id, i, sum(new) over (partition by doc_id order by i) as k from o),
+        spans as (select doc_id, min(i) as a, max(i) + 50 as b from r group by doc_id, k),
+        pieces as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as x, a as y from spans
+                   union all select doc_id, coalesce(max(b), 0), max(n) from d left join spans using (doc_id) group by doc_id),
+        kept as (select doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' order by x) as k from pieces join d using (doc_id) group by doc_id),
+        t as (select doc_id, count(*) as n_spans, sum(b - a)::bigint as n_removed from spans group by doc_id)
+        select d.doc_id, d.n as n_bytes, coalesce(t.n_removed, 0) as n_removed, coalesce(t.n_spans, 0) as n_spans, sha256(unhex(kept.k)) as kept_sha256
+        from d join kept using (doc_id) left join t using (doc_id)""",
     "op6_exact_top_k": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as e
                    from embeddings where embedding is not null),
