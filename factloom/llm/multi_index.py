@@ -5,9 +5,9 @@ bounded sample). A vector's cell is its pair of nearest codewords, within its la
 the multi-sequence algorithm visits cells of the product grid in order of distance: both lists of
 codewords are sorted, and a heap holds the frontier. It stops when a cell is farther than the vector's
 own by more than a margin, set so that the target recall is reached: on the sample, each
-vector gets a partner at exactly the least cosine in a random direction, and the margin is the
-``target`` quantile of how much farther the partner's cell is. A pair is found if either side visits
-the other's cell. All members of visited cells are verified by cosine in double precision.
+vector gets a partner at exactly the least cosine in a random direction. A pair is found if either
+side visits the other's cell, so the margin is the ``target`` quantile of how much farther the other's
+cell is, on the side where it is less. All members of visited cells are verified by cosine in double precision.
 
 Cells are split into tiles of bounded size by a hash, so that a cell that holds a third of all
 vectors is spread over many tasks, and a task returns counts and a spanning forest, never pairs.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, forest, partitions, read
 
-LEAST, SAMPLE, TARGET, TILE, OCCUPANCY = 0.93, 20_000, 0.999, 1024, 64
+LEAST, SAMPLE, TARGET, TILE, OCCUPANCY = 0.93, 20_000, 0.998, 1024, 64
 FEWEST, MOST = 4, 512  # codewords for each half
 PASSES, SEED = 8, 5
 
@@ -79,7 +79,9 @@ class Index:
         away = np.divide(away, size, out=np.zeros_like(away), where=size > 0)
         (one, two), (p, q) = self.near(some), self.near(least * some + (1 - least**2) ** 0.5 * away)
         r = np.arange(len(some))
-        excess = one[r, p.argmin(axis=1)] + two[r, q.argmin(axis=1)] - one.min(axis=1) - two.min(axis=1)
+        there = one[r, p.argmin(axis=1)] + two[r, q.argmin(axis=1)] - one.min(axis=1) - two.min(axis=1)
+        back = p[r, one.argmin(axis=1)] + q[r, two.argmin(axis=1)] - p.min(axis=1) - q.min(axis=1)
+        excess = np.minimum(there, back)
         self.margin = float(np.quantile(excess, target)) if len(excess) else 0.0
 
     def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

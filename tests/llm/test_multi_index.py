@@ -56,7 +56,7 @@ def test_recall_at_the_threshold():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(6000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    index = multi_index.Index(x, 400_000, 0.93, 0.999)
+    index = multi_index.Index(x, 400_000, 0.93, multi_index.TARGET)
     a = x[:1500]
     d = rng.normal(size=a.shape)
     d -= (d * a).sum(axis=1, keepdims=True) * a
