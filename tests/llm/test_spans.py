@@ -47,5 +47,13 @@ def test_same_as_brute_force(spark):
     assert got == slow(rows)
 
 
+def test_answers_too_large_to_broadcast(spark, monkeypatch):
+    rows = [(i, "One two three four five six seven. Eight nine ten eleven twelve thirteen. " * (i % 3) + f"Word{i} is here now. And that is all of it then.") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, spans.remove_passages(df).collect()))
+    monkeypatch.setattr("factloom.llm.exchange.BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, spans.remove_passages(df).collect())) == want
+
+
 def test_empty(spark):
     assert spans.remove_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
