@@ -16,8 +16,10 @@ K1, B = 1.2, 0.75
 def bm25(docs: DataFrame, key: str, text: str, wanted: list[str]) -> DataFrame:
     """key, score of documents with at least one term. The terms of a query are few, so counting them
     needs no inverted index: one pass yields length and counts, one row of totals is broadcast."""
-    words = T.tokens(F.col(text))
-    counts = docs.select(F.col(key), words.alias("_w")).select(key, F.size("_w").alias("_len"), *((F.size("_w") - F.size(F.array_remove("_w", t))).alias(f"_c{i}") for i, t in enumerate(wanted)))
+    split = docs.select(F.col(key), F.split(F.lower(text), "[^a-z0-9_]+").alias("_w"))
+    empty = F.when(F.get("_w", F.lit(0)) == "", 1).otherwise(0) + F.when(F.element_at("_w", -1) == "", 1).otherwise(0)
+    length = F.greatest(F.size("_w") - empty, F.lit(0))
+    counts = split.select(key, length.alias("_len"), *((F.size("_w") - F.size(F.array_remove("_w", t))).alias(f"_c{i}") for i, t in enumerate(wanted)))
     counts = settle(counts)  # narrow: the texts are split once, not once for the totals and again for the scores
     totals = counts.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count(F.when(F.col(f"_c{i}") > 0, 1)).alias(f"_d{i}") for i in range(len(wanted))))
     x = counts.where(" or ".join(f"_c{i} > 0" for i in range(len(wanted)))).join(F.broadcast(totals), F.lit(True))
