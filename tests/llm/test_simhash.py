@@ -1,3 +1,4 @@
+import random
 import re
 
 import xxhash
@@ -62,3 +63,43 @@ def test_stage_keeps_one_of_each_group(spark):
     got = simhash.keep_first(spark, df, "")
     assert got.columns == df.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == ["3", "4", "7", "None"]
+
+
+def slow_kept(rows):
+    """doc_ids that stay, by all pairs of shingle sets."""
+    sets = []
+    for _, t in rows:
+        words = t.lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    group = {d: d for d, _ in rows}
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            x, y = sets[i], sets[j]
+            if 5 * len(x & y) >= 4 * len(x | y):
+                a, b = sorted((top(rows[i][0]), top(rows[j][0])))
+                group[b] = a
+    return sorted(d for d in group if group[d] == d)
+
+
+def test_stage_same_as_all_pairs_by_jaccard(spark):
+    rng = random.Random(5)
+    rows = []
+    for family in range(40):
+        base = [f"f{family}w{rng.randrange(10**6)}" for _ in range(rng.choice([4, 8, 9, 12, 60, 200, 400]))]
+        rows.append(" ".join(base))
+        for _ in range(8):  # a replaced word changes five shingles: similarities from 0.4 to 1, most close to 0.8
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, len(base) // 60, len(base) // 45, len(base) // 40, len(base) // 25])):
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**9)}"
+            rows.append(" ".join(copy[: len(copy) - rng.choice([0, 0, 1, len(copy) // 6])]))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for other in ({}, {"tile": 64}):
+        assert sorted(r.doc_id for r in simhash.keep_first(spark, df, "", **other).collect()) == slow_kept(rows)
