@@ -5,7 +5,8 @@ at least ``WINDOW`` key-like characters are candidates. Over each candidate slid
 ``WINDOW`` characters; the counts of its characters change by one in and one out, and with them the
 sum of c * log2(c) from which the entropy follows. A candidate becomes a span if some window reaches
 the threshold of its character class (hexadecimal or mixed), unless the allow-list suppresses it: no
-digit or no letter in it, or a known harmless form. Entropy spans never overlap base spans.
+digit or no letter in it, or a known harmless form. Entropy spans never overlap base spans: the report
+leaves out a candidate that meets one, the pipeline's stage judges what is left of it on either side.
 
 Spark's functions give matches but not their places; a match's place is the length of all pieces and
 matches before it, and the pieces are what ``split`` leaves by the same pattern. Only texts in which
@@ -35,7 +36,11 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 THRESHOLDS = {"hex": 3.0, "mixed": 3.6}
 #: forms that are no secrets: identifiers in words, dates and versions, placeholders, rulers
-ALLOWED = r"^([A-Za-z]+[_/-])*[A-Za-z]+[0-9]{0,4}$|^[0-9]{4}-[0-9]{2}-[0-9]{2}|(?i)example|(?i)placeholder|^[=_-]+|x{6,}"
+#: of the whole value, as a key may begin with any of them
+ALLOWED = (
+    r"^([A-Za-z]+[_/-])*[A-Za-z]+[0-9]{0,4}$|^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_/-]?[0-9-]*Z?$|^[=_-]+$"
+    r"|^(?i:([=+/_-]|example|placeholder|your|my|api|access|secret|token|key|password|value|here|x)+[0-9]{0,4})$"
+)
 MASK = "[SECRET]"
 
 
@@ -91,15 +96,37 @@ def suspicious(found):
     return F.when(mixed, entropy(found) >= least).otherwise(False)
 
 
-def scan(docs: DataFrame, text_col: str = "text", prefix: str = "secret_") -> DataFrame:
-    """docs with two more columns: <prefix>base and <prefix>entropy, arrays of (start, end, kind number)."""
+def outside(runs, base):
+    """The parts of runs that no base span covers, if they hold a window; base is sorted."""
+    def parts(x):
+        piece = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.substring(x["found"], a - x["start"] + 1, F.greatest(b - a, F.lit(0))).alias("found"))
+
+        def step(acc, b):
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], F.array(piece(acc["at"], b["start"]))).alias("out"))
+
+        none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+        met = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        return F.aggregate(met, F.struct(x["start"].alias("at"), none.alias("out")), step, lambda acc: F.concat(acc["out"], F.array(piece(acc["at"], x["end"]))))
+
+    return F.filter(F.flatten(F.transform(runs, parts)), lambda x: x["end"] - x["start"] >= WINDOW)
+
+
+def scan(docs: DataFrame, text_col: str = "text", prefix: str = "secret_", parts: bool = False) -> DataFrame:
+    """docs with two more columns: <prefix>base and <prefix>entropy, arrays of (start, end, kind number).
+
+    With parts, what is left of a candidate beside base spans is judged too.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     def marked(found, kind: int):  # functions that transform() calls have one argument
         return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
     base = F.concat(*(marked(places(text, p, g, n), k) for k, (_, p, g, n) in enumerate(KINDS)))
     out = docs.withColumn(f"{prefix}base", F.array_sort(base))
-    runs = F.filter(places(text, CANDIDATE, 0, WINDOW), lambda x: ~F.exists(F.col(f"{prefix}base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    runs = places(text, CANDIDATE, 0, WINDOW)
+    if parts:
+        runs = outside(runs, F.col(f"{prefix}base"))
+    else:
+        runs = F.filter(runs, lambda x: ~F.exists(F.col(f"{prefix}base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return out.withColumn(f"{prefix}entropy", marked(F.filter(runs, lambda x: suspicious(x["found"])), len(KINDS)))
 
 
@@ -124,7 +151,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     prefix = "secret_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix += "_"
-    found = scan(docs, "text", prefix)
+    found = scan(docs, "text", prefix, parts=True)
     spans = F.array_sort(F.concat(f"{prefix}base", f"{prefix}entropy"))
     text = F.col("text")
 
