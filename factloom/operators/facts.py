@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import settle
+
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str, name: str) -> DataFrame:
     """(check, n): rows whose key no parent has."""
@@ -57,14 +59,16 @@ def inherit(spans: DataFrame, trace: str, span: str, parent: str, cols: list[str
     return joined.select(*(c for c in spans.columns if c not in cols), *(F.coalesce(F.nullif(F.col(c), F.lit("")), F.nullif(F.col(f"_{c}"), F.lit(""))).alias(c) for c in cols))
 
 
-def span_depths(spans: DataFrame, trace: str, span: str, parent: str, rounds: int = 4) -> DataFrame:
-    """trace, span, root, depth: by pointer jumping, so 2 ** rounds levels take rounds joins."""
+def span_depths(spans: DataFrame, trace: str, span: str, parent: str) -> DataFrame:
+    """trace, span, root, depth: by pointer jumping, so a trace of n spans takes at most log2(n) joins."""
+    most = spans.groupBy(trace).count().agg(F.max("count")).first()[0] or 1
     known = spans.select(F.col(trace).alias("t"), F.col(span).alias("s"))
     now = spans.select(F.col(trace).alias("t"), F.col(span).alias("s"), F.col(parent).alias("p")).join(
         known.withColumnRenamed("s", "p").withColumn("has", F.lit(1)), ["t", "p"], "left"
     )
     now = now.select("t", "s", F.when(F.col("has") == 1, F.col("p")).otherwise(F.col("s")).alias("up"), F.coalesce("has", F.lit(0)).alias("depth"))
-    for _ in range(rounds):
+    for _ in range((most - 1).bit_length()):
+        now = settle(now)
         above = now.select("t", F.col("s").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"))
         now = now.join(above, ["t", "up"]).select("t", "s", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
     return now.select(F.col("t").alias("trace"), F.col("s").alias("span"), F.col("up").alias("root"), "depth")
