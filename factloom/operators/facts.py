@@ -123,14 +123,12 @@ def replace_paths(old: DataFrame, new: DataFrame, dirty: DataFrame, key: str, fa
 
 
 def top_similar(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, rank, cosine. queries (query_id, q) is a handful of vectors and is broadcast."""
-    few = queries.limit(1001).count()
-    if few > 1000:
-        raise ValueError("top_similar takes at most 1000 queries")
+    """query_id, vec_id, rank, cosine. queries (query_id, q) are broadcast up to 1,000 vectors, else joined without."""
+    some = F.broadcast(queries) if queries.limit(1001).count() <= 1000 else queries
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     score = dot(F.col("v"), F.col("q")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("q"), F.col("q")))
-    pairs = v.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).withColumn("cosine", score)
+    pairs = v.join(some, F.col("vec_id") != F.col("query_id")).withColumn("cosine", score)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "cosine")
 

@@ -8,3 +8,10 @@ def test_deep_traces(spark):
     got = O.span_depths(spark.createDataFrame(turns, "trace long, span long, parent long"), "trace", "span", "parent").collect()
     assert sorted((r.trace, r.span, r.root, r.depth) for r in got) == [(1, i, 0, i) for i in range(40)] + [(2, 5, 5, 0), (2, 6, 5, 1), (2, 9, 9, 0)]
     assert O.span_depths(spark.createDataFrame([], "trace long, span long, parent long"), "trace", "span", "parent").count() == 0
+
+
+def test_similar_for_many_queries(spark):
+    v = spark.range(1100).selectExpr("id as vec_id", "array(cos(id / 200.0), sin(id / 200.0)) as embedding")
+    got = O.top_similar(v, v.selectExpr("vec_id as query_id", "embedding as q"), 1).collect()
+    assert sorted(r.query_id for r in got) == list(range(1100))
+    assert all(abs(r.vec_id - r.query_id) == 1 for r in got)
