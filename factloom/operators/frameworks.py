@@ -29,17 +29,14 @@ def template_edges(calls: DataFrame, templates: DataFrame) -> DataFrame:
     """Calls that render a template named by a literal; LOW if no such file was scanned."""
     x = calls.where(F.col("callee").rlike(r"(^|\.)(render|render_template|TemplateResponse|render_to_string)$"))
     named = x.withColumn("t", F.get(F.filter(F.transform("arguments", lambda a: F.regexp_extract(a, r"^['\"]([\w./-]+\.(?:html?|jinja2?|njk|ejs))['\"]$", 1)), lambda a: a != ""), F.lit(0))).where("t is not null")
-    known = templates.select(F.col("path").alias("_p"))
-    found = named.join(known, F.col("_p").endswith(F.concat(F.lit("/"), "t")) | (F.col("_p") == F.col("t")), "left") if _small(templates) else named.join(known, F.col("_p") == F.col("t"), "left")
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    known = templates.select(F.col("path").alias("_p"), F.explode(ends).alias("t")).groupBy("t").agg(F.min("_p").alias("_p"))
+    found = named.join(known, "t", "left")
     best = found.groupBy("path", "line", "caller", "t").agg(F.min("_p").alias("p"))
     return edge(best, "caller", F.coalesce("p", "t"), "RENDERS_TEMPLATE", F.when(F.col("p").isNull(), "LOW").otherwise("HIGH"))
 
 
-def _small(df: DataFrame, most: int = 10_000) -> bool:
-    """Suffix matches are a nested loop; beyond this many templates only whole paths match."""
-    return df.limit(most + 1).count() <= most
-
-
 def provider_edges(symbols: DataFrame, injects: DataFrame) -> DataFrame:
     """Functions provide the type they return; several for one type are only possible. What is injected
     by name resolves to the function of that name, if there is one."""

@@ -81,14 +81,13 @@ def distances(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int,
     """(seed, node, distance) over undirected edges for every pair of a seed and a node."""
     both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
     found = bfs(both, seeds, depth)
-    every = nodes.select("node").distinct().join(F.broadcast(seeds.select("seed").distinct()), F.lit(True)) if _few(seeds) else None
-    if every is None:
-        return found.select("seed", "node", F.col("depth").alias("distance"))
+    starts = seeds.select("seed").distinct()
+    every = nodes.select("node").distinct().crossJoin(F.broadcast(starts) if _few(seeds) else starts)
     return every.join(found, ["seed", "node"], "left").select("seed", "node", F.coalesce("depth", F.lit(unreachable)).alias("distance"))
 
 
 def _few(seeds: DataFrame, most: int = 1000) -> bool:
-    """A distance map names every pair only for a handful of seeds (packages of a workspace)."""
+    """A handful of seeds (packages of a workspace) is broadcast."""
     return len(seeds.select("seed").distinct().limit(most + 1).collect()) <= most
 
 
