@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from .common import Scratch, read
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2.0, 17
 RESERVE = 1 << 14  # words that the exact fit works on, at least
+BROADCAST_BYTES = 64 << 20
 
 
 def count_words(text: str):
@@ -79,15 +81,18 @@ def plan(lengths: list[int], counts: list[int], target: float) -> tuple[int, lis
     return copies, more
 
 
-def draw(scratch: Scratch, docs: DataFrame, source_col: str, text_col: str, seed: int, *keys: str) -> DataFrame:
-    """keys, size, source_size, target, copies. The first key seeds the choice."""
-    docs = docs.select(
-        *(F.col(k).alias(f"key{i}") for i, k in enumerate(keys)),
+def columns(source_col: str, text_col: str, id_col: str, seed: int) -> list:
+    """src, size and h, the seeded place of a document in the order in which documents are taken."""
+    return [
         F.when(F.col(source_col).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string"))).alias("src"),
         count_words(text_col).alias("size"),
-        F.xxhash64(F.col(keys[0]).cast("string"), F.lit(seed)).alias("h"),
-    )
-    docs = scratch.cut(docs.withColumn("cell", F.shiftrightunsigned("h", 56).cast("int")))
+        F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("h"),
+    ]
+
+
+def budgets(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows with src, size and cell: (src, source_size, target), and what is taken of each cell:
+    (src, size, cell, n, before, base, more), before being the documents of lower cells."""
     counts = scratch.cut(docs.groupBy("src", "size", "cell").agg(F.count("*").alias("n")))
     # one row a source from here on
     sources = counts.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -115,13 +120,22 @@ def draw(scratch: Scratch, docs: DataFrame, source_col: str, text_col: str, seed
     lengths = counts.where("size > 0").groupBy("src", "size").agg(F.sum("n").alias("n")).join(targets, "src")
     chosen = lengths.groupBy("src").applyInPandas(planned, "src string, size long, base long, more long")
     before = F.sum("n").over(W.partitionBy("src", "size").orderBy("cell")) - F.col("n")
-    cells = scratch.cut(counts.where("size > 0").withColumn("before", before).join(chosen, ["src", "size"]).select("src", "size", "cell", "before", "base", "more"))
-    place = F.row_number().over(W.partitionBy("src", "size", "cell").orderBy("h", *(f"key{i}" for i in range(len(keys)))))
-    found = docs.join(cells, ["src", "size", "cell"], "left").withColumn("place", place)
+    return targets, scratch.cut(counts.where("size > 0").withColumn("before", before).join(chosen, ["src", "size"]))
+
+
+def cell(h: str) -> F.Column:
+    return F.shiftrightunsigned(h, 56).cast("int")
+
+
+def draw(scratch: Scratch, docs: DataFrame, source_col: str, text_col: str, seed: int, id_col: str) -> DataFrame:
+    """id, size, source_size, target, copies for every row."""
+    docs = docs.select(F.col(id_col).alias("key"), *columns(source_col, text_col, id_col, seed))
+    docs = scratch.cut(docs.withColumn("cell", cell("h")))
+    targets, cells = budgets(scratch, docs)
+    place = F.row_number().over(W.partitionBy("src", "size", "cell").orderBy("h", "key"))
+    found = docs.join(cells.drop("n"), ["src", "size", "cell"], "left").withColumn("place", place)
     copies = F.when(F.col("size") > 0, F.col("base") + F.when(F.col("before") + F.col("place") <= F.col("more"), 1).otherwise(0)).otherwise(0)
-    return found.withColumn("copies", copies.cast("long")).join(targets, "src").select(
-        *(F.col(f"key{i}").alias(k) for i, k in enumerate(keys)), "size", "source_size", "target", "copies"
-    )
+    return found.withColumn("copies", copies.cast("long")).join(targets, "src").select(F.col("key").alias(id_col), "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
@@ -131,13 +145,42 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def repeat_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it, 0, 1 or 2 times."""
-    scratch, row = Scratch(spark), "mix_row_number"
-    while row in docs.columns:
-        row += "_"
-    kept = scratch.cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    drawn = draw(scratch, kept, "source", "text", SEED, "doc_id", row).where("copies > 0").select(row, F.col("copies").alias(f"{row}n"))
-    return kept.join(scratch.cut(drawn), row).withColumn(row, F.explode(F.sequence(F.lit(1), F.col(f"{row}n")))).select(docs.columns)
+    """Pipeline stage: each document as often as the mix takes it, 0, 1 or 2 times.
+
+    What is taken of a source's documents of one size is the start of a seeded order, so a document
+    needs only the copies of all of them and the last place that gets one more: one row for each
+    source and size, broadcast if measured to be within ``BROADCAST_BYTES`` and joined like any table
+    otherwise. Texts are not copied. A place is (hash of doc_id, hash of the text, file and row of
+    the input); the last part only decides between rows that repeat.
+
+    Null texts and texts without words are never taken; a null doc_id, a null source and rows that
+    repeat take part as rows of their own; an empty table stays empty; other columns pass unread.
+    """
+    scratch, name = Scratch(spark), "mix_"
+    while any(c.startswith(name) for c in docs.columns):
+        name += "_"
+    try:
+        row = docs.metadataColumn("_metadata")
+        docs.select(row["row_index"]).schema  # is analysed here
+    except AnalysisException:  # not read from files
+        docs = scratch.cut(docs)
+        row = docs.metadataColumn("_metadata")
+    src, size, h = columns("source", "text", "doc_id", SEED)
+    parts = {"src": src, "size": size, "h": h, "text": F.xxhash64("text"), "row": F.xxhash64(row["file_path"], row["row_index"])}
+    found = docs.withColumns({f"{name}{k}": c for k, c in parts.items()})
+    keys = scratch.cut(found.select(*(F.col(f"{name}{k}").alias(k) for k in parts)).withColumn("cell", cell("h")))
+    _, cells = budgets(scratch, keys)
+    order = lambda prefix: F.struct(cell(f"{prefix}h").alias("cell"), *(F.col(f"{prefix}{k}").alias(k) for k in ("h", "text", "row")))
+    ends = keys.join(cells.where("before < more and more <= before + n"), ["src", "size", "cell"])
+    ends = ends.withColumn("place", F.row_number().over(W.partitionBy("src", "size").orderBy("h", "text", "row"))).where("place = more - before")
+    limits = cells.groupBy("src", "size").agg(F.max("base").alias("base")).join(ends.select("src", "size", order("").alias("end")), ["src", "size"], "left")
+    limits = scratch.cut(limits.select(F.col("src").alias(f"{name}src"), F.col("size").alias(f"{name}size"), F.col("base").alias(f"{name}base"), F.col("end").alias(f"{name}end")))
+    scratch.drop(keys)
+    scratch.drop(cells)
+    held = limits.agg(F.sum(F.octet_length(f"{name}src") + 64)).first()[0] or 0
+    met = found.join(F.broadcast(limits) if held <= BROADCAST_BYTES else limits, [f"{name}src", f"{name}size"])
+    copies = F.col(f"{name}base") + F.when(order(name) <= F.col(f"{name}end"), 1).otherwise(0)
+    return met.withColumn(f"{name}n", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,19 @@ def test_fit_is_exact():
         out = mixing.fit(lengths, counts, budget)
         assert all(a <= b for a, b in zip(out, counts))
         assert abs(sum(a * b for a, b in zip(out, lengths)) - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_repeated_rows_and_both_joins(spark, tmp_path, monkeypatch):
+    rows = [(None, "a b c", "x", 1)] * 50 + [(7, "d e f", "x", 1)] * 50 + [(8, "d e f", "x", 1), (9, None, "x", 1), (10, "", None, 1)] + [(100 + i, "g h", None, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_h int").repartition(3)
+    df.write.parquet(f"{tmp_path}/d")
+    seen = []
+    for docs, limit in ((df, 1 << 20), (spark.read.parquet(f"{tmp_path}/d"), 1 << 20), (spark.read.parquet(f"{tmp_path}/d"), -1)):
+        monkeypatch.setattr(mixing, "BROADCAST_BYTES", limit)
+        got = mixing.repeat_rows(spark, docs, "")
+        assert got.columns == df.columns
+        seen.append(sorted(map(str, got.collect())))
+    assert seen[0] == seen[1] == seen[2]
+    # sources x and null weigh 5 and 2; x is given 150 % * 383 words * 5 / 7 = 410, null its most of 2 * 80
+    taken = {s: sum(len(r.text.split()) for r in got.collect() if r.source == s) for s in ("x", None)}
+    assert abs(taken["x"] - (1.5 * 383 - 160)) <= 3 and taken[None] == 160
