@@ -10,6 +10,9 @@ for each place. Windows of exactly a power of two are looked up apart.
 
 Texts are tokenised by words: a word with the space before it always becomes the same ids, so ids
 are kept for words seen before; texts with other white space next to a space are encoded as a whole.
+A string that the JSON vocabulary lists as an added token (``<|endoftext|>``) is that token wherever
+it stands in a text, as the library of that file has it by default; what stands between is encoded
+piece by piece.
 
 Defined results: null and empty texts are just the end token; null doc_ids stay null; rows that
 repeat are packed as often; an empty table gives an empty result; other columns are not read.
@@ -19,6 +22,8 @@ Sequence numbers are unique, and a block never spans two tasks.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections import deque
 
@@ -41,6 +46,17 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """Strings that are one token each, by the JSON vocabulary."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(x[k] for x in found for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("only added tokens that match anywhere as they stand are understood")
+    return {x["content"]: x["id"] for x in found}
+
+
 class Words(dict):
     """Ids of words as bytes; a word that must not be encoded alone raises KeyError."""
 
@@ -59,19 +75,31 @@ class Words(dict):
 
 
 class Tokens:
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, added: str | None = None):
         import public_tokenizers
         import tiktoken
 
         with open(path or ranks_path(), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.added = added_tokens(added)
+        # the longest of those that start at one place
+        self.parts = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
         self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.first, self.rest = Words(self.encode, ""), Words(self.encode, " ")
-        self.stops = np.zeros(max(ranks.values()) + 2, dtype=bool)  # tokens that end a sentence
+        self.stops = np.zeros(max([*ranks.values(), *self.added.values()]) + 1, dtype=bool)  # tokens that end a sentence
         for token, i in ranks.items():
             self.stops[i] = token[-1:] in (b".", b"!", b"?", b"\n")
 
     def __call__(self, text: str) -> np.ndarray:
+        out, at = [], 0
+        for m in self.parts.finditer(text):
+            out += [self.plain(text[at : m.start()]), np.array([self.added[m.group()]], dtype="<u4")]
+            at = m.end()
+        return np.concatenate([*out, self.plain(text[at:])]) if out else self.plain(text)
+
+    def plain(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, dtype="<u4")
         words = text.split(" ")
         try:
             # a list, not a generator: __missing__ may raise
@@ -138,12 +166,12 @@ def pack_block(lengths: np.ndarray, ids: np.ndarray, stops: np.ndarray, window:
 KIND = pa.schema([(n, t) for n, t in (("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.large_binary()))])
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW, keep_ids: bool = True, added: str | None = None) -> DataFrame:
     """One row for each piece; ids holds its token ids as little-endian unsigned 32-bit integers."""
     kind = KIND if keep_ids else pa.schema(list(KIND)[:-1])
 
     def run(batches):
-        tokens, base = Tokens(path), TaskContext.get().partitionId() << 32
+        tokens, base = Tokens(path, added), TaskContext.get().partitionId() << 32
         names: list = []
         held: list[np.ndarray] = []
         size = 0
@@ -181,7 +209,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the pieces."""
+    """Pipeline stage, the last: the pieces of all documents, as ``pack`` has them.
+
+    Null and empty texts are one end token; null doc_ids stay null; rows that repeat are packed as
+    often; an empty table gives no pieces; other columns are not read, so names cannot clash.
+    """
     return pack(docs, keep_ids=False)
 
 

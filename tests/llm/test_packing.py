@@ -39,7 +39,6 @@ def test_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = [*enumerate(texts()), (500, None), (None, "no id."), (501, "twice. "), (501, "twice. ")]
     want = {d: [*t.encode(x or "", add_special_tokens=False).ids, 0] for d, x in rows}
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, length int").repartition(2)
@@ -66,3 +65,16 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_added_tokens_as_the_json_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, own, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Tokens(), random.Random(3)
+    end = "<|endoftext|>"
+    bits = [end, end * 2, f"in{end}side", f" {end} ", f"{end}\n", "<|endof", "text|>", "a b", " ", ".", "\n", "é", "<|", "|>"]
+    texts = [end, end * 3, f"a{end}b", f"a {end} b", f"<|end{end}oftext|>"] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    for x in texts:
+        assert own(x).tolist() == t.encode(x, add_special_tokens=False).ids
+    assert own(end).tolist() == [50256]
