@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,17 +22,21 @@ def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
 class Scratch:
     """Intermediate tables under ``spark.checkpoint.dir``, which every executor sees.
 
-    Only a session without that setting (tests) gets a local folder. ``cut`` writes a frame and
-    returns the frame read back, so a lost executor costs no more than the tasks it was running.
+    Only a session without that setting on a local master (tests) gets a local folder; on a cluster
+    it must be set. ``cut`` writes a frame and returns the frame read back, so a lost executor costs
+    no more than the tasks it was running.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
-            base = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='factloom-')}"
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            base = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
         self.root = f"{base.rstrip('/')}/factloom-{uuid.uuid4().hex}"
         self.n = 0
+        self.tables: list[str] = []
         atexit.register(self.drop)
 
     def cut(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -41,10 +47,20 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def bucketed(self, df: DataFrame, n: int, key: str) -> DataFrame:
+        """As cut, with the rows in n buckets by key: a join by key leaves them where they are."""
+        self.n += 1
+        name = f"{self.root.rsplit('/', 1)[-1]}_{self.n}".replace("-", "_")
+        df.write.option("compression", "zstd").option("path", f"{self.root}/{self.n}").bucketBy(n, key).saveAsTable(name, format="parquet")
+        self.tables.append(name)
+        return self.spark.table(name)
+
     def drop(self, df: DataFrame | None = None) -> None:
         """Remove one table that ``cut`` made, or all of them."""
         path = self.root if df is None else df._scratch_path
         try:
+            while df is None and self.tables:
+                self.spark.sql(f"drop table if exists {self.tables.pop()}")
             jvm = self.spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -53,6 +69,27 @@ class Scratch:
                 raise  # at exit the session may be gone already
 
 
+def numbered(scratch: Scratch, docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column that tells any two rows apart: the hash of file and row that a row is read from.
+
+    It is the same whenever the row is read again. Rows that are not read from files are written first.
+    """
+    try:
+        row = docs.metadataColumn("_metadata")
+        docs.select(row["row_index"]).schema  # is analysed here
+    except AnalysisException:
+        docs = scratch.cut(docs)
+        row = docs.metadataColumn("_metadata")
+    return docs.withColumn(name, F.xxhash64(row["file_path"], row["row_index"]))
+
+
+def free_prefix(docs: DataFrame, prefix: str) -> str:
+    """prefix, lengthened until no column of docs begins with it."""
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

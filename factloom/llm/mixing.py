@@ -20,12 +20,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, free_prefix, numbered, read
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2.0, 17
 RESERVE = 1 << 14  # words that the exact fit works on, at least
@@ -156,19 +155,11 @@ def repeat_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts and texts without words are never taken; a null doc_id, a null source and rows that
     repeat take part as rows of their own; an empty table stays empty; other columns pass unread.
     """
-    scratch, name = Scratch(spark), "mix_"
-    while any(c.startswith(name) for c in docs.columns):
-        name += "_"
-    try:
-        row = docs.metadataColumn("_metadata")
-        docs.select(row["row_index"]).schema  # is analysed here
-    except AnalysisException:  # not read from files
-        docs = scratch.cut(docs)
-        row = docs.metadataColumn("_metadata")
+    scratch, name = Scratch(spark), free_prefix(docs, "mix_")
     src, size, h = columns("source", "text", "doc_id", SEED)
-    parts = {"src": src, "size": size, "h": h, "text": F.xxhash64("text"), "row": F.xxhash64(row["file_path"], row["row_index"])}
-    found = docs.withColumns({f"{name}{k}": c for k, c in parts.items()})
-    keys = scratch.cut(found.select(*(F.col(f"{name}{k}").alias(k) for k in parts)).withColumn("cell", cell("h")))
+    parts = {"src": src, "size": size, "h": h, "text": F.xxhash64("text")}
+    found = numbered(scratch, docs, f"{name}row").withColumns({f"{name}{k}": c for k, c in parts.items()})
+    keys = scratch.cut(found.select(*(F.col(f"{name}{k}").alias(k) for k in (*parts, "row"))).withColumn("cell", cell("h")))
     _, cells = budgets(scratch, keys)
     order = lambda prefix: F.struct(cell(f"{prefix}h").alias("cell"), *(F.col(f"{prefix}{k}").alias(k) for k in ("h", "text", "row")))
     ends = keys.join(cells.where("before < more and more <= before + n"), ["src", "size", "cell"])

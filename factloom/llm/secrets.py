@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import free_prefix, read
 
 #: kind, pattern, group that must be long, its least length
 KINDS = (
@@ -186,9 +186,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     repeat are of no concern, as each row is judged alone; an empty table stays empty; other columns
     pass unread, but n_chars, if it is there, follows a text that changed.
     """
-    prefix = "secret_"
-    while any(c.startswith(prefix) for c in docs.columns):
-        prefix += "_"
+    prefix = free_prefix(docs, "secret_")
     found = scan(docs, "text", prefix).withColumn(f"{prefix}all", F.sort_array(F.concat(f"{prefix}base", f"{prefix}entropy")))
     spans, text = F.col(f"{prefix}all"), F.col("text")
     out = found.withColumn("text", F.when(F.size(spans) > 0, let(merged(spans), lambda cuts: F.array_join(between(text, cuts), MASK))).otherwise(text))

@@ -7,11 +7,12 @@ Fingerprints
 Comparison
     Two fingerprints that differ in at most r bits agree wholly on one of r + 1 bit fields. So
     distinct fingerprints meet in groups keyed by (field, its value), never all with all. (In the
-    pipeline's stage they meet by MinHash bands, and the texts decide; see ``keep_first``.) Inside a
-    group they are dealt to tiles by population count; only pairs of tiles whose counts can come
-    within r of each other become work units, so one very large group is spread over many tasks.
-    A unit compares its two tiles as a numpy matrix of exclusive-ors and returns a spanning forest
-    of the pairs within r, never the pairs themselves.
+    pipeline's stage they meet by MinHash bands, and the texts decide; see ``keep_first``.) Every
+    group is sorted by population count and cut into tiles of ``INNER``; pairs of tiles whose counts
+    differ by more than r are skipped, the others compared as a numpy matrix of exclusive-ors and bit
+    counts. A group of over ``TILE`` is dealt to several tasks by the same rule: its work units are
+    pairs of blocks of one population count. A unit returns a spanning forest of the pairs within r,
+    never the pairs themselves.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; a null doc_id
 is reported with its fingerprint and the smallest doc_id of its group (null if none has an id);
@@ -27,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, forest, partitions, read, rows
+from .common import Scratch, components, forest, free_prefix, numbered, partitions, read, rows
 
 WORDS, SEED, RADIUS, TILE = 4, 42, 4, 4096
+INNER = 256  # fingerprints in a tile of a comparison
+SETS, SHINGLES = 1024, 2048  # weight of a block of sets: one for each set, and one for so many shingles
 #: of the pipeline's stage: MinHash bands and hashes in each, and the least Jaccard similarity as a fraction
 BANDS, BAND, LEAST = 20, 4, (4, 5)
-FAR = 10_000
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 FACTORS, SHIFTS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND, 1), dtype=np.uint64)
 
 
@@ -92,98 +95,66 @@ def fields(n: int, longs: int = 1) -> list[tuple[int, int, int]]:
     return [(w, a, (1 << (b - a)) - 1) for w in range(longs) for a, b in zip(at, at[1:])]
 
 
+def tile_pairs(left: np.ndarray, right: np.ndarray, radius: int, tile: int = INNER):
+    """Slices (of left, of right) to compare, given sorted population counts of both, in tiles.
+
+    A pair of tiles whose counts are farther apart than the radius holds no link and is skipped.
+    """
+    for a in range(0, len(left), tile):
+        low, high = left[a], left[min(a + tile, len(left)) - 1]
+        for b in range(0, len(right), tile):
+            if right[b] - high <= radius and low - right[min(b + tile, len(right)) - 1] <= radius:
+                yield slice(a, a + tile), slice(b, b + tile)
+
+
 def tiles_within(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of two fingerprint arrays (rows of longs) that differ in at most radius bits."""
-    found = []
-    for at in range(0, len(left), 512):
-        diff = sum(np.bitwise_count(left[at : at + 512, k, None] ^ right[None, :, k]).astype(np.uint16) for k in range(left.shape[1]))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    ones = [np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (left, right)]
+    order = [np.argsort(x, kind="stable") for x in ones]
+    one, two = left[order[0]], right[order[1]]
+    for x, y in tile_pairs(ones[0][order[0]], ones[1][order[1]], radius):
+        diff = sum(np.bitwise_count(one[x, k, None] ^ two[None, y, k]).astype(np.uint16) for k in range(left.shape[1]))
         i, j = np.nonzero(diff <= radius)
-        found.append((i + at, j))
-    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-
-
-def picked(fp: np.ndarray, node: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, pick) -> tuple[np.ndarray, np.ndarray]:
-    """Smaller and larger node of the pairs that pick takes, 512 rows of left at a time."""
-    low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at in range(0, len(left), 512):
-        some = left[at : at + 512]
-        diff = sum(np.bitwise_count(fp[some, k, None] ^ fp[None, right, k]).astype(np.int16) for k in range(fp.shape[1]))
-        diff[(diff > radius) | (node[some, None] == node[None, right])] = FAR
-        i, j = pick(diff, node[some], node[right], group[some], group[right])
-        one, two = node[some[i]], node[right[j]]
-        low.append(np.minimum(one, two))
-        high.append(np.maximum(one, two))
-    pairs = np.unique(np.stack([np.concatenate(low), np.concatenate(high)], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def nearest(diff, left, right, left_group, right_group):
-    """The nearest node of each, and the nearest among those with smaller numbers: few pairs, which join most of a group."""
-    i = np.arange(len(diff))
-    found = []
-    for d in (diff, np.where(right[None, :] < left[:, None], diff, FAR)):
-        j = d.argmin(axis=1)
-        near = d[i, j] < FAR
-        found.append((i[near], j[near]))
+        found.append((order[0][i + x.start], order[1][j + y.start]))
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
-def apart(diff, left, right, left_group, right_group):
-    """All pairs not in one group yet."""
-    return np.nonzero((diff < FAR) & (left_group[:, None] != right_group[None, :]))
+def joined(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Table:
+    """A spanning forest (a, b) of the links between node[i] and node[j]."""
+    order = np.argsort(node, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    root = forest(rank[i], rank[j], len(node))
+    far = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table({"a": node[order][far], "b": node[order][root[far]]}, schema=PAIR)
 
 
-def links(scratch: Scratch, nodes: DataFrame, at: list[tuple[int, int, int]] | None, radius: int = RADIUS, tile: int = TILE, pick=None) -> DataFrame:
-    """Edges (a, b) that connect just what the pairs of nodes (node, f0, ...) connect that agree on a
-    field of ``at`` and differ in at most radius bits. Fingerprints in nodes are distinct.
+def tiled(scratch: Scratch, keyed: DataFrame, near: int, tile: int, compare) -> DataFrame:
+    """Edges (a, b) that connect just what compare connects of the nodes that share (field, value).
 
-    Without ``at``, nodes agree on a place of their array ``bands``. With ``pick``, the edges are the
-    pairs that it picks of two blocks: (differing bits, left node, right node, left and right group).
+    keyed: field, value, rank, weight, node and what compare reads. A group of at most ``tile`` in weight
+    is one work unit. A larger one is dealt to blocks, each of one rank and of about ``tile``; its units
+    are the pairs of blocks whose ranks are at most ``near`` apart, as no others hold a link. compare
+    gets a unit's rows with the columns tile, lo and hi, which say of which blocks they are.
     """
-    longs = [c for c in nodes.columns if c not in ("node", "bands", "group")]
-    columns = [c for c in nodes.columns if c != "bands"]
-    if at is None:
-        values = F.transform("bands", lambda v, k: F.struct(k.alias("field"), v.alias("value")))
-    else:
-        values = F.array(*(F.struct(F.lit(k).alias("field"), F.shiftrightunsigned(f"f{w}", s).bitwiseAND(F.lit(m)).alias("value")) for k, (w, s, m) in enumerate(at)))
-    keyed = nodes.select(
-        *columns, sum((F.bit_count(c) for c in longs), F.lit(0)).alias("keyed_ones"), F.explode(values).alias("g")
-    ).select(*columns, "keyed_ones", "g.field", "g.value")
-    # how many of a group have each population count; at most 64 for each long
-    counts = keyed.groupBy("field", "value", F.col("keyed_ones").alias("ones")).agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("field", "value").agg(F.sum("n").alias("total"), F.max("n").alias("most"))
-    single = sizes.where((F.col("total") > 1) & (F.col("total") <= tile)).select("field", "value", F.lit(None).cast("array<struct<ones:int,parts:int>>").alias("cuts"))
+    columns = [c for c in keyed.columns if c not in ("field", "value")]
+    counts = keyed.groupBy("field", "value", F.col("rank").alias("ones")).agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    sizes = counts.groupBy("field", "value").agg(F.sum("n").alias("total"), F.sum("w").alias("most")).where("total > 1")
+    single = sizes.where(F.col("most") <= tile).select("field", "value", F.lit(None).cast("array<struct<ones:int,parts:int>>").alias("cuts"))
     big = (
-        counts.join(sizes.where(F.col("total") > tile), ["field", "value"])
+        counts.join(sizes.where(F.col("most") > tile), ["field", "value"])
         .groupBy("field", "value")
-        .agg(F.sort_array(F.collect_list(F.struct("ones", F.ceil(F.col("n") / F.lit(tile)).cast("int").alias("parts")))).alias("cuts"))
+        .agg(F.sort_array(F.collect_list(F.struct("ones", F.ceil(F.col("w") / F.lit(tile)).cast("int").alias("parts")))).alias("cuts"))
     )
     plan = scratch.cut(single.unionAll(big))
-    # a tile is (ones, part); the work units of a tile are its pairs with tiles within the radius
     met = keyed.join(plan, ["field", "value"]).withColumn("part", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(
-        F.expr("cast(pmod(xxhash64(node, 7), element_at(filter(cuts, c -> c.ones = keyed_ones), 1).parts) as int)")))
-    tile_id = "keyed_ones * 1000000L + part"
+        F.expr("cast(pmod(xxhash64(node, 7), element_at(filter(cuts, c -> c.ones = rank), 1).parts) as int)")))
+    tile_id = "rank * 1000000L + part"
     others = f"""case when cuts is null then array(struct(-1L as lo, -1L as hi)) else
-        transform(flatten(transform(filter(cuts, c -> abs(c.ones - keyed_ones) <= {radius}), c -> transform(sequence(0, c.parts - 1), p -> c.ones * 1000000L + p))),
+        transform(flatten(transform(filter(cuts, c -> abs(c.ones - rank) <= {near}), c -> transform(sequence(0, c.parts - 1), p -> c.ones * 1000000L + p))),
                   t -> struct(least(t, {tile_id}) as lo, greatest(t, {tile_id}) as hi)) end"""
     units = met.select("field", "value", *columns, F.expr(f"case when cuts is null then -1L else {tile_id} end").alias("tile"), F.explode(F.expr(others)).alias("u")).select("field", "value", "u.lo", "u.hi", "tile", *columns)
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def compare(table: pa.Table) -> pa.Table:
-        fp = np.stack([table[c].to_numpy().view(np.uint64) for c in longs], axis=1)
-        node, t, lo = table["node"].to_numpy(), table["tile"].to_numpy(), table["lo"][0].as_py()
-        first, second = np.flatnonzero(t == lo), np.flatnonzero(t == table["hi"][0].as_py())
-        if pick:
-            group = table["group"].to_numpy()
-            return pa.concat_tables([pa.table(dict(zip("ab", picked(fp, node, group, x, y, radius, pick))), schema=out) for x, y in ((first, second), (second, first))[: 1 + (lo != table["hi"][0].as_py())]])
-        i, j = tiles_within(fp[first], fp[second], radius)
-        i, j = first[i], second[j]
-        order = np.argsort(node, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        root = forest(rank[i], rank[j], len(node))
-        far = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": node[order][far], "b": node[order][root[far]]}, schema=out)
 
     def grouped(batches):
         """Units arrive in order within a partition; one unit is held at a time."""
@@ -205,10 +176,39 @@ def links(scratch: Scratch, nodes: DataFrame, at: list[tuple[int, int, int]] | N
             yield from compare(pa.Table.from_batches(keep)).to_batches()
 
     keys = ["field", "value", "lo", "hi"]
-    dealt = units.repartition(partitions(nodes.sparkSession), *keys).sortWithinPartitions(*keys)
+    dealt = units.repartition(partitions(keyed.sparkSession), *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(grouped, "a long, b long").distinct()
 
 
+def sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of a unit's two blocks, which may be one."""
+    tile = t["tile"].to_numpy()
+    return np.flatnonzero(tile == t["lo"][0].as_py()), np.flatnonzero(tile == t["hi"][0].as_py())
+
+
+def links(scratch: Scratch, nodes: DataFrame, at: list[tuple[int, int, int]] | None, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) that connect just what the pairs of nodes (node, f0, ...) connect that agree on a
+    field of ``at`` and differ in at most radius bits. Fingerprints in nodes are distinct.
+
+    Without ``at``, nodes agree on a place of their array ``bands``.
+    """
+    longs = [c for c in nodes.columns if c not in ("node", "bands")]
+    if at is None:
+        values = F.transform("bands", lambda v, k: F.struct(k.alias("field"), v.alias("value")))
+    else:
+        values = F.array(*(F.struct(F.lit(k).alias("field"), F.shiftrightunsigned(f"f{w}", s).bitwiseAND(F.lit(m)).alias("value")) for k, (w, s, m) in enumerate(at)))
+    ones = sum((F.bit_count(c) for c in longs), F.lit(0)).cast("int")
+    keyed = nodes.select("node", *longs, ones.alias("rank"), F.lit(1).alias("weight"), F.explode(values).alias("g")).select("g.field", "g.value", "rank", "weight", "node", *longs)
+
+    def compare(t: pa.Table) -> pa.Table:
+        fp = np.stack([t[c].to_numpy().view(np.uint64) for c in longs], axis=1)
+        first, second = sides(t)
+        i, j = tiles_within(fp[first], fp[second], radius)
+        return joined(t["node"].to_numpy(), first[i], second[j])
+
+    return tiled(scratch, keyed, radius, tile, compare)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, for every row of docs."""
     scratch = Scratch(docs.sparkSession)
@@ -225,13 +225,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def sketches(docs: DataFrame, longs: int) -> DataFrame:
-    """(doc_id, same, f0, f1, ..., bands) of the set of each text's five-word shingles; same names the set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), *((f"f{k}", pa.int64()) for k in range(longs)), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, row, same, f0, f1, ..., bands) of the set of each text's five-word shingles; same names the set."""
+    names = ("doc_id", "row", *(f"f{k}" for k in range(longs)))
+    schema = pa.schema([*((c, pa.int64()) for c in names), ("same", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
             same, prints, bands = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 h = np.unique(shingles(t, 5))
                 same.append(xxhash.xxh3_128_digest(h.tobytes()))
                 prints.append(majority(h, longs))
@@ -242,67 +243,100 @@ def sketches(docs: DataFrame, longs: int) -> DataFrame:
                 bands.append([xxhash.xxh3_64_intdigest(k.tobytes()) for k in keys] if len(h) else [])
             fp = np.array(prints, dtype=np.uint64).view(np.int64).reshape(-1, longs)
             bands = [np.array(x, dtype=np.uint64).view(np.int64) for x in bands]
-            yield rows(schema, doc_id=b.column(0).cast(pa.int64()), same=same, bands=bands, **{f"f{k}": fp[:, k] for k in range(longs)})
+            yield rows(schema, doc_id=b.column(0).cast(pa.int64()), row=b.column(1), same=same, bands=bands, **{f"f{k}": fp[:, k] for k in range(longs)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, " + ", ".join(f"f{k} long" for k in range(longs)) + ", bands array<long>")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", same binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (doc_id, text) have a Jaccard similarity of five-word shingles of at least LEAST."""
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, component, n, shingles) of texts (node, component, text): the set of five-word shingles as sorted hashes."""
+    schema = pa.schema([("node", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
-        last, one = None, None
-        for batch in batches:
-            a, b = [], []
-            for x, y, s, t in zip(*(c.to_pylist() for c in batch.columns)):
-                if last != (x, s):
-                    last, one = (x, s), np.unique(shingles(s, 5))
-                two = np.unique(shingles(t, 5))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                if both * LEAST[1] >= (len(one) + len(two) - both) * LEAST[0]:
-                    a.append(x)
-                    b.append(y)
-            yield rows(schema, a=a, b=b)
-
-    met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    return met.mapInArrow(run, "a long, b long").distinct()
-
-
-def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str, longs: int = 4, radius: int = 72, tile: int = 2048) -> DataFrame:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                sets = [np.unique(shingles(t, 5)) for t in b.column(2).slice(at, 500).to_pylist()]
+                yield rows(schema, node=b.column(0).slice(at, 500), component=b.column(1).slice(at, 500), n=[len(x) for x in sets], shingles=[x.tobytes() for x in sets])
+
+    return texts.select("node", "component", "text").mapInArrow(run, "node long, component long, n long, shingles binary")
+
+
+def alike(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets whose Jaccard similarity is at least LEAST; which of right hold a shingle is looked up once."""
+    every = np.concatenate([np.zeros(0, np.uint64), *right])
+    owner = np.repeat(np.arange(len(right)), [len(x) for x in right])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[: len(every)])
+    names, count = every[first], np.diff(np.append(first, len(every)))
+    size = np.array([len(x) for x in right], dtype=np.int64)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for k, own in enumerate(left):
+        at = np.searchsorted(names, own)
+        own_in = at < len(names)
+        hit = at[own_in][names[at[own_in]] == own[own_in]]
+        n = count[hit]
+        places = np.repeat(first[hit] - np.cumsum(np.append(0, n))[:-1], n) + np.arange(n.sum())
+        both = np.bincount(owner[places], minlength=len(right))
+        j = np.flatnonzero(both * LEAST[1] >= (len(own) + size - both) * LEAST[0])
+        found.append((np.full(len(j), k), j))
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+
+def alike_in(scratch: Scratch, sets: DataFrame, tile: int = SETS) -> DataFrame:
+    """Edges (a, b) that connect what the pairs of sets of one component connect that are alike.
+
+    Sets whose sizes differ by more than a fifth are not, so blocks have sizes of one power of 5/4.
+    """
+    power = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(LEAST[1] / LEAST[0]))).cast("int")
+    keyed = sets.select(F.lit(0).alias("field"), F.col("component").alias("value"), power.alias("rank"), (1 + F.floor(F.col("n") / SHINGLES)).alias("weight"), "node", "shingles")
+
+    def compare(t: pa.Table) -> pa.Table:
+        each = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
+        first, second = sides(t)
+        i, j = alike([each[k] for k in first.tolist()], [each[k] for k in second.tolist()])
+        return joined(t["node"].to_numpy(), first[i], second[j])
+
+    return tiled(scratch, keyed, 1, tile, compare)
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str, longs: int = 4, radius: int = 72, tile: int = TILE, block: int = SETS) -> DataFrame:
     """Pipeline stage: the row with the smallest doc_id of each group of near-duplicates stays.
 
     Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of at least
-    0.8. That is computed from the texts for every pair that links; sketches only find the pairs to
-    look at. Candidates agree on one of 20 bands of four MinHash values, which a pair of similarity 0.8
-    misses with probability 0.5904 ** 20 = 2.7e-5, and differ in at most 72 of 256 bits, where such a
-    pair differs in 39 on average, with deviation 6 (48 if one text has four shingles, the other five).
-
-    First each candidate is compared with its nearest ones, which joins the large groups; then all
-    pairs that are not in one group yet are compared.
-    Rows without a doc_id cannot be named as anyone's copy and stay; of rows that repeat a doc_id,
-    one stays.
+    0.8, and what such links connect. Sketches find where to look: texts are candidates of each other
+    if they agree on one of 20 bands of four MinHash values, which a pair of similarity 0.8 misses with
+    probability 0.5904 ** 20 = 2.7e-5, and differ in at most 72 of 256 bits, where such a pair differs
+    in 39 on average, with deviation 6 (48 if one text has four shingles, the other five). What
+    candidates connect is a component; in it all sets of shingles are compared, in blocks, whose
+    tasks return spanning forests. So no pairs are written, however many texts are nearly alike, and
+    a text goes only by links that its shingles have.
+
+    Null and empty texts have no shingles and are copies of each other. Rows without a doc_id cannot
+    be named as anyone's copy and stay. Of rows that repeat a doc_id, the one whose text has the
+    smallest hash stands for the id, and the others go; of rows that repeat it with one text, any one
+    stays. An empty table stays empty. Other columns pass unread; the texts are shuffled to meet their
+    candidates, and to meet the ids that stay.
     """
-    scratch = Scratch(spark)
+    scratch, name = Scratch(spark), f"{free_prefix(docs, 'near_')}row"
+    docs = numbered(scratch, docs, name)
     named = docs.where("doc_id is not null")
     prints = [f"f{k}" for k in range(longs)]
-    found = sketches(named, longs).groupBy("same").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in (*prints, "bands")))
-    first = scratch.cut(found.select("node", *prints, "bands"))
-    tested = scratch.cut(links(scratch, first.withColumn("group", F.col("node")), None, radius, tile, nearest))
-    # every node with a candidate is in one of these pairs
-    ends = tested.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = scratch.cut(named.select("doc_id", "text").join(ends, "doc_id", "left_semi"))
-    sure = scratch.cut(verified(tested, texts))
-    comp = scratch.cut(components(scratch, sure))
-    left = first.join(ends.withColumnRenamed("doc_id", "node"), "node", "left_semi").join(comp, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    rest = links(scratch, scratch.cut(left), None, radius, tile, apart).join(tested, ["a", "b"], "left_anti")
-    more = scratch.cut(verified(scratch.cut(rest), texts))
-    comp = components(scratch, sure.unionAll(more))
-    later = scratch.cut(comp.where("node <> component").select(F.col("node").alias("doc_id")))
-    keep = scratch.cut(first.select(F.col("node").alias("doc_id")).join(later, "doc_id", "left_anti"))
-    kept = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("row"), "text")
+    repeated = F.min(F.struct(F.xxhash64("text").alias("h"), "row"))["row"]
+    chosen = scratch.cut(texts.groupBy("doc_id").agg(repeated.alias("row"), F.count("*").alias("n")))
+    own = chosen.where("n > 1").select("doc_id", F.col("row").alias("only"))
+    known = sketches(texts, longs).join(own, "doc_id", "left").where("only is null or row = only")
+    found = known.groupBy("same").agg(F.min(F.struct("doc_id", "row")).alias("id"), *(F.first(c).alias(c) for c in (*prints, "bands")))
+    first = scratch.cut(found.select(F.col("id.doc_id").alias("node"), "id.row", *prints, "bands"))
+    near = scratch.cut(components(scratch, links(scratch, first.drop("row"), None, radius, tile)))
+    seen = first.join(near, "node").select(F.col("node").alias("doc_id"), "row", "component")
+    sets = scratch.cut(shingle_sets(texts.join(seen, ["doc_id", "row"]).withColumnRenamed("doc_id", "node")))
+    comp = components(scratch, alike_in(scratch, sets, block))
+    keep = scratch.cut(first.join(comp.where("node <> component").select("node"), "node", "left_anti").select(F.col("node").alias("doc_id"), F.col("row").alias(name)))
+    scratch.drop(sets)
+    kept = named.join(keep, ["doc_id", name], "left_semi")
+    return kept.unionByName(docs.where("doc_id is null")).select(*(F.col(f"`{c}`") for c in docs.columns if c != name))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from factloom.llm import simhash
@@ -55,6 +56,35 @@ def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_tiles_are_skipped():
+    """Tile pairs are skipped by population count, and nothing is lost by it."""
+    rng = np.random.default_rng(2)
+    share = rng.random(1500)[:, None]
+    prints = np.packbits(rng.random((1500, 64)) < share, axis=1).view(np.uint64)
+    prints = np.concatenate([prints, prints[:200] ^ (np.uint64(1) << rng.integers(0, 64, (200, 1)).astype(np.uint64))])
+    ones = np.sort(np.bitwise_count(prints[:, 0]).astype(np.int64))
+    taken = list(simhash.tile_pairs(ones, ones, 4, 64))
+    every = -(-len(ones) // 64)
+    assert len(taken) < every * every / 3
+    i, j = simhash.tiles_within(prints, prints, 4)
+    diff = np.bitwise_count(prints[:, None, 0] ^ prints[None, :, 0])
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*(x.tolist() for x in np.nonzero(diff <= 4))))
+
+
+def test_stage_with_repeated_ids(spark):
+    """Of two texts with one id the same one stays whatever the order of rows; of repeated rows one stays."""
+    other = [f"z{i}" for i in range(50)]
+    rows = [(1, "a b c d e f g", "x"), (1, " ".join(other), "y"), (2, " ".join(other), "z"), (3, "same row here", "q"), (3, "same row here", "q"), (None, "n", "m"), (None, "n", "m")]
+    seen = []
+    for part in (1, 3, 5):
+        for order in (rows, rows[::-1]):
+            df = spark.createDataFrame(order, "doc_id long, text string, near_row string").repartition(part)
+            seen.append(sorted(map(str, simhash.keep_first(spark, df, "").collect())))
+    assert all(s == seen[0] for s in seen)
+    assert sum("doc_id=1," in r for r in seen[0]) == 1 and sum("doc_id=3" in r for r in seen[0]) == 1 and sum("None" in r for r in seen[0]) == 2
+    assert any("z49" in r for r in seen[0])
+
+
 def test_stage_keeps_one_of_each_group(spark):
     words = [f"v{i * i % 997}" for i in range(400)]
     near = words[:200] + ["changed"] + words[201:]
@@ -101,5 +131,28 @@ def test_stage_same_as_all_pairs_by_jaccard(spark):
     rng.shuffle(rows)
     rows = list(enumerate(rows))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for other in ({}, {"tile": 64}):
+    for other in ({}, {"tile": 64, "block": 8}):
         assert sorted(r.doc_id for r in simhash.keep_first(spark, df, "", **other).collect()) == slow_kept(rows)
+
+
+def test_alike_same_as_sets():
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(40)]
+    every = base + [np.unique(np.append(x[: len(x) - 1], 99).astype(np.uint64)) for x in base] + [np.zeros(0, np.uint64)] * 2
+    i, j = simhash.alike(every, every)
+    want = [(a, b) for a, x in enumerate(every) for b, y in enumerate(every) if 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y))]
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted(want)
+
+
+def test_many_texts_nearly_alike(spark):
+    """A large group of texts just below and just above the least similarity: no pairs are written for it."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(500):
+        copy = list(base)
+        for _ in range(2 if i < 400 else 1):
+            copy[rng.randrange(5, 55)] = f"c{i}x{rng.random()}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first(spark, df, "").collect()) == slow_kept(rows)
