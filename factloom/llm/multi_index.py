@@ -9,11 +9,15 @@ vector gets a partner at exactly the least cosine in a random direction. A pair
 side visits the other's cell, so the margin is the ``target`` quantile of how much farther the other's
 cell is, on the side where it is less. All members of visited cells are verified by cosine in double precision.
 
+The codebooks are fitted on at most max(``sample``, ``FOR_WORD`` * ``MOST``) vectors, and have as many words as
+make cells of about ``OCCUPANCY`` vectors of the largest label, up to 2 ** 24 cells (a billion
+vectors a label); beyond that cells grow.
+
 Cells are split into tiles of bounded size by a hash, so that a cell that holds a third of all
 vectors is spread over many tasks, and a task returns counts and a spanning forest, never pairs.
 
 Defined results: vectors that are null, empty or zero or hold null or non-finite components, and rows
-without a label or an id, link with nothing. Only vectors of the most frequent dimension of the sample are
+without a label or an id, link with nothing. Only vectors of the most frequent dimension are
 indexed by halves of it; others meet in a cell for each dimension. Rows that repeat an id link like any
 others and share its component. Other columns are not read. An empty table gives an empty result.
 """
@@ -29,15 +33,16 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, forest, partitions, read
 
-LEAST, SAMPLE, TARGET, TILE, OCCUPANCY = 0.93, 20_000, 0.998, 1024, 64
-FEWEST, MOST = 4, 512  # codewords for each half
+LEAST, SAMPLE, TARGET, TILE, OCCUPANCY = 0.93, 20_000, 0.999, 1024, 64
+FEWEST, MOST = 4, 4096  # codewords for each half, so at most 2 ** 24 cells
+FOR_WORD = 8  # sampled vectors for each codeword, at least
 PASSES, SEED = 8, 5
 
 
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     words = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(PASSES):
-        near = distances(x, words).argmin(axis=1)
+        near = np.concatenate([distances(x[a : a + 2048], words).argmin(axis=1) for a in range(0, len(x), 2048)])
         n = np.bincount(near, minlength=k)
         total = np.zeros_like(words)
         np.add.at(total, near, x)
@@ -64,12 +69,17 @@ def traverse(one: np.ndarray, two: np.ndarray, margin: float) -> list[int]:
     return out
 
 
+def codewords(n: int) -> int:
+    """For each half, given the vectors of the largest label: about ``OCCUPANCY`` of them a cell."""
+    return int(min(MOST, max(FEWEST, round((n / OCCUPANCY) ** 0.5))))
+
+
 class Index:
     def __init__(self, sample: np.ndarray, n: int, least: float, target: float):
         """sample: unit vectors of one dimension; n: vectors of the largest label."""
         rng = np.random.default_rng(SEED)
         self.dim = sample.shape[1]
-        k = int(min(MOST, max(FEWEST, round((n / OCCUPANCY) ** 0.5)), max(1, len(sample))))
+        k = min(codewords(n), len(sample))
         self.cut = (self.dim + 1) // 2
         self.words = [k_means(h, k, rng) for h in (sample[:, : self.cut], sample[:, self.cut :])]
         some = sample[rng.permutation(len(sample))[:4000]]
@@ -89,45 +99,63 @@ class Index:
 
     def cells(self, x: np.ndarray) -> list[list[int]]:
         """The cells that each vector visits; its own comes first."""
-        one, two = self.near(x)
-        return [traverse(a, b, self.margin) for a, b in zip(one, two)]
+        return [traverse(a, b, self.margin) for at in range(0, len(x), 1024) for a, b in zip(*self.near(x[at : at + 1024]))]
+
+
+KEPT = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("v", pa.binary())])
 
 
 def unit(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """vec_id, label, v (unit length; null if the row links with nothing)."""
-    v = F.col(vec_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    top = F.array_max(F.transform("v", F.abs))  # scaling first keeps squares finite
-    rows = rows.withColumn("top", F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~bad, top))
-    rows = rows.withColumn("v", F.when(F.col("top") > 0, F.transform("v", lambda x: x / F.col("top"))))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return rows.withColumn("norm", norm).select("vec_id", "label", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+    """vec_id, label, dim, v (doubles of a vector of length 1; null if the row links with nothing)."""
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(2).cast(pa.large_list(pa.float64()))
+            at = lists.offsets.to_numpy()
+            length = np.diff(at)
+            flat = lists.values.to_numpy(zero_copy_only=False)  # null components become NaN
+            usable = (length > 0) & lists.is_valid().to_numpy(zero_copy_only=False) & b.column(0).is_valid().to_numpy(zero_copy_only=False) & b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            out: list[bytes | None] = [None] * len(length)
+            for d in np.unique(length[usable]).tolist():
+                i = np.flatnonzero(usable & (length == d))
+                x = flat[at[:-1][i][:, None] + np.arange(d)]
+                top = np.abs(x).max(axis=1)
+                ok = np.isfinite(top) & (top > 0)
+                i, x = i[ok], x[ok] / top[ok, None]  # scaling first keeps squares finite
+                x /= np.sqrt((x * x).sum(axis=1))[:, None]
+                for k, row in zip(i.tolist(), x):
+                    out[k] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), pa.array(length, pa.int32()), pa.array(out, pa.binary())], schema=KEPT)
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, "vec_id long, label string, dim int, v binary")
 
 
 def link(scratch: Scratch, rows: DataFrame, least: float, sample: int, target: float, tile: int) -> DataFrame:
-    """For rows (row, vec_id, label, v): (row, n) partial counts of links and (a, b) edges of vec_ids."""
+    """For rows (row, vec_id, label, dim, v): (row, n) partial counts of links and (a, b) edges of vec_ids."""
     spark = rows.sparkSession
     usable = rows.where("v is not null")
-    some = usable.select("v", F.xxhash64("row", F.lit(3)).alias("h")).orderBy("h").limit(sample).select("v").toPandas()["v"].tolist()
-    dims = [len(x) for x in some]
-    dim = max(set(dims), key=dims.count) if dims else 1
     largest = usable.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    picked = [x for x in some if len(x) == dim]
-    index = Index(np.array(picked).reshape(len(picked), dim), largest, least, target) if picked else None
+    wanted = max(sample, FOR_WORD * codewords(largest))  # at most 32,768 unless more are asked for
+    dims = usable.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    dim = dims["dim"] if dims else 0
+    some = usable.where(F.col("dim") == dim).select("v", F.xxhash64("row", F.lit(3)).alias("h")).orderBy("h").limit(wanted).select("v").toPandas()["v"]
+    index = Index(np.frombuffer(b"".join(some), np.float64).reshape(len(some), dim), largest, least, target) if len(some) else None
     kind = pa.schema([("row", pa.int64()), ("vec_id", pa.int64()), ("label", pa.string()), ("v", pa.binary()), ("cells", pa.list_(pa.int32()))])
 
     def place(batches):
         for b in batches:
-            lists = [x.values.to_numpy() for x in b.column(3)]
-            cells: list = [[-len(x)] for x in lists]
-            same = [i for i, x in enumerate(lists) if len(x) == dim]
-            if same:
-                for i, c in zip(same, index.cells(np.stack([lists[i] for i in same]))):
+            length = b.column(3).to_numpy()
+            cells: list = [[-d] for d in length.tolist()]
+            same = np.flatnonzero(length == dim)
+            if len(same):
+                raw = b.column(4).to_pylist()
+                x = np.frombuffer(b"".join(raw[i] for i in same.tolist()), np.float64).reshape(len(same), dim)
+                for i, c in zip(same.tolist(), index.cells(x)):
                     cells[i] = c
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x.tobytes() for x in lists], pa.binary()), pa.array(cells, kind.field("cells").type)], schema=kind)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(cells, kind.field("cells").type)], schema=kind)
 
-    placed = scratch.cut(usable.select("row", "vec_id", "label", "v").mapInArrow(place, "row long, vec_id long, label string, v binary, cells array<int>"))
+    placed = scratch.cut(usable.select("row", "vec_id", "label", "dim", "v").mapInArrow(place, "row long, vec_id long, label string, v binary, cells array<int>"))
     visits = placed.select("row", "vec_id", "label", "v", "cells", F.posexplode("cells").alias("turn", "cell"))
     sizes = visits.groupBy("label", "cell").agg(F.sum(F.when(F.col("turn") == 0, 1).otherwise(0)).alias("members"), F.count("*").alias("guests"))
     sizes = scratch.cut(

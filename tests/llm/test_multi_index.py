@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from factloom.llm import multi_index
 
@@ -51,12 +52,13 @@ def test_same_as_brute_force(spark):
     assert run(spark, rows(), tile=32) == want
 
 
-def test_recall_at_the_threshold():
-    """Pairs at exactly the least cosine: the visited cells hold at least 99 % of them."""
+@pytest.mark.parametrize("vectors", [40_000, 400_000, 4_000_000])
+def test_recall_at_the_threshold(vectors):
+    """Pairs at exactly the least cosine: the visited cells hold at least 99 % of them, whatever the codebook's size."""
     rng = np.random.default_rng(9)
     x = rng.normal(size=(6000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    index = multi_index.Index(x, 400_000, 0.93, multi_index.TARGET)
+    index = multi_index.Index(x, vectors, 0.93, 0.999)
     a = x[:1500]
     d = rng.normal(size=a.shape)
     d -= (d * a).sum(axis=1, keepdims=True) * a
@@ -67,3 +69,9 @@ def test_recall_at_the_threshold():
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_codebook_grows_with_the_vectors():
+    assert multi_index.codewords(10) == multi_index.FEWEST
+    for n in (10**6, 10**7, 10**8, 10**9):
+        assert 0.9 * multi_index.OCCUPANCY < n / multi_index.codewords(n) ** 2 < 1.1 * multi_index.OCCUPANCY
