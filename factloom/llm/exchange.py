@@ -4,12 +4,14 @@ A batch is one row that holds some megabytes of whole texts. It is written once,
 sees the same texts in the same order. In a round each batch sends, for each bucket of keys, one blob
 of distinct keys (a key that a third of all texts hold is one entry a batch, so no bucket is hot);
 a bucket answers each blob with one small blob, aligned to its entries. Only keys and answers are
-shuffled, as binary blobs; texts stay where they are, since answers are broadcast if they are
-measured to be small, and joined otherwise.
+shuffled, as binary blobs, at any size: the table of batches is bucketed by batch number, so answers
+come to where the texts are. A task that makes batches numbers them so that they fall into one bucket,
+and writes one file.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,10 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, partitions
 
 BATCH_BYTES = 4 << 20
-BROADCAST_BYTES = 64 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -41,15 +42,40 @@ class Batch:
         return np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
 
 
+def bucket_of(number: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of n into which Spark puts a long: its 32-bit Murmur3 hash with seed 42, modulo n.
+
+    Another hash would only spread a task's batches over more files.
+    """
+    u = np.uint32
+    turn = lambda x, k: x << u(k) | x >> u(32 - k)
+    h = np.full(len(number), 42, u)
+    for half in (number & 0xFFFFFFFF, number >> 32):
+        h = turn(h ^ turn(half.astype(u) * u(0xCC9E2D51), 15) * u(0x1B873593), 13) * u(5) + u(0xE6546B64)
+    h ^= u(8)
+    h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+    h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+    return (h ^ h >> u(16)).view(np.int32).astype(np.int64) % n
+
+
+def numbers(task: int, n: int) -> Iterator[int]:
+    """Numbers of a task's batches, all in bucket task % n."""
+    for at in itertools.count(0, 4096):
+        some = (np.int64(task) << 32) + np.arange(at, at + 4096, dtype=np.int64)
+        yield from some[bucket_of(some, n) == task % n].tolist()
+
+
 SCHEMA = "batch long, ids binary, named binary, ends binary, data binary"
 
 
-def make_batches(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, limit: int = BATCH_BYTES) -> DataFrame:
-    """One row for each batch; a text of more than limit bytes has its own."""
+def make_batches(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row for each batch; a text of more than BATCH_BYTES has its own."""
+    limit, n = BATCH_BYTES, partitions(docs.sparkSession)
     schema = pa.schema([("batch", pa.int64()), *((c, pa.binary()) for c in ("ids", "named", "ends", "data"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, named, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+        own = numbers(TaskContext.get().partitionId(), n)
+        number, ids, named, texts, size = next(own), [], [], [], 0
 
         def row():
             ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
@@ -64,7 +90,7 @@ def make_batches(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str,
             for d, t in zip(b.column(0).to_pylist(), texts_in):
                 if texts and size + len(t) > limit:
                     yield row()
-                    number, ids, named, texts, size = number + 1, [], [], [], 0
+                    number, ids, named, texts, size = next(own), [], [], [], 0
                 ids.append(NO_ID if d is None else d)
                 named.append(d is not None)
                 texts.append(t)
@@ -72,7 +98,7 @@ def make_batches(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str,
         if texts:
             yield row()
 
-    return scratch.cut(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA))
+    return scratch.bucketed(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA), n, "batch")
 
 
 def each(table: DataFrame, work: Callable[[Batch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -107,14 +133,14 @@ def ask(
     sent = each(table, lambda b: iter([mail(b.number, question(b))]), "batch long, bucket int, blob binary")
 
     def reply(t: pa.Table) -> pa.Table:
+        t = t.sort_by("batch")  # the same order in every attempt
         blobs = answer(t["bucket"][0].as_py(), t["blob"].to_pylist())
         return pa.table({"batch": t["batch"], "bucket": t["bucket"], "blob": pa.array(blobs, pa.binary())})
 
     back = sent.groupBy("bucket").applyInArrow(reply, "batch long, bucket int, blob binary")
     name = f"answer{len(table.columns)}"
     got = scratch.cut(back.groupBy("batch").agg(F.collect_list(F.struct("bucket", "blob")).alias(name)))
-    size = got.agg(F.sum(F.aggregate(name, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["blob"])))).first()[0] or 0
-    return table.join(F.broadcast(got) if size <= BROADCAST_BYTES else got, "batch", "left")
+    return table.join(got.hint("shuffle_hash"), "batch", "left")
 
 
 def by_bucket(bucket: np.ndarray) -> list[tuple[int, slice]]:

@@ -1,11 +1,17 @@
 """Removal of repeated passages by hashes of runs of consecutive sentences.
 
-A sentence ends at a word that ends in ``.``, ``!`` or ``?``, or at a line's end; a sentence of over
-``longest`` words counts as several, cut every ``longest`` words from its start. At every sentence
-starts one span: the next ``run`` sentences, and as many more as it takes to hold ``least`` words.
-Spans with equal bytes are one group, told apart by 128-bit hashes; the first of a group is the one
-with the smallest (doc_id, place in the document). Every sentence covered by a span that is not the
-first of its group is removed, within a document as well as across documents.
+A sentence ends at a word that ends in ``.``, ``!`` or ``?``, or at a line's end. A sentence of over
+``longest`` words counts as several, cut before every word that has the smallest hash among some
+``longest`` / 2 consecutive words of it: cuts depend on the words around them and not on where the
+sentence begins, and are at most ``longest`` / 2 words apart. At every sentence starts one span: the
+next ``run`` sentences, and as many more as it takes to hold ``least`` words. Spans with equal bytes
+are one group, told apart by 128-bit hashes; the first of a group is the one with the smallest
+(doc_id, place in the document). Every sentence covered by a span that is not the first of its group
+is removed, within a document as well as across documents.
+
+So a passage that two documents share may begin and end anywhere: what it has of the sentence it begins
+in is cut alike in both from the ``longest``-th word on, and so at its end. Of 2 * ``longest`` + ``least`` words or
+more (48 by default), at least ``least`` lie in whole sentences that both have, which is a span.
 
 The hashes meet in buckets as one entry for each batch of texts, so a passage that a third of all
 documents hold makes no hot key; a bucket answers each entry with one bit.
@@ -26,12 +32,49 @@ from pyspark.sql import functions as F
 from .common import Scratch, partitions, read
 from .exchange import Batch, ask, by_bucket, each, gather, make_batches, pack
 
-RUN, LEAST, LONGEST = 3, 20, 16
+RUN, LEAST, LONGEST = 2, 20, 14
 SPACE = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
 STOP = np.isin(np.arange(256), list(b".!?"))
 U = np.uint64
 
 
+def marks(data: np.ndarray, word: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word by its length and first bytes; it only has to tell most words apart."""
+    h = (end - word).astype(U)
+    for k in range(8):
+        at = word + k
+        inside = at < end
+        h = (h * U(0x9E3779B97F4A7C15)) ^ np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(U)
+    h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)
+    return h ^ (h >> U(32))
+
+
+def cut_long(new: np.ndarray, h, longest: int) -> np.ndarray:
+    """new, which marks words that begin a sentence, with the cuts of sentences of over longest words."""
+    near = longest // 2
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(new)))
+    long = size > longest
+    words = np.flatnonzero(np.repeat(long, size))
+    if not len(words):
+        return new
+    # (hash, place) of the words of long sentences; the smallest of each window, the last among equals
+    order = np.empty(len(words), np.int64)
+    order[np.lexsort((-words, h(words)))] = np.arange(len(words))
+    least, reach = order, 1
+    while reach * 2 <= near:
+        least, reach = np.minimum(least[:-reach], least[reach:]), reach * 2
+    if near > reach:
+        least = np.minimum(least[: reach - near], least[near - reach :])
+    which = np.repeat(np.arange(len(at)), size)[words]
+    whole = which[: len(least)] == which[near - 1 :]
+    back = np.empty(len(words), np.int64)
+    back[order] = words
+    out = new.copy()
+    out[back[least[whole]]] = True
+    return out
+
+
 def sentences(b: Batch, longest: int) -> tuple[np.ndarray, ...]:
     """Start, end without space, words and document of each sentence of a batch."""
     space = SPACE[b.data]
@@ -45,11 +88,11 @@ def sentences(b: Batch, longest: int) -> tuple[np.ndarray, ...]:
     after = np.concatenate([space[1:], [True]])
     after[b.ends[b.ends > 0] - 1] = True
     end = np.flatnonzero(~space & after) + 1
-    lines = np.concatenate([[0], np.cumsum(b.data == 10)])
+    lines = np.flatnonzero(b.data == 10)
     new = np.ones(len(word), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | STOP[b.data[end[:-1] - 1]] | (lines[word[1:]] > lines[end[:-1]])
-    at = np.flatnonzero(new)
-    new |= (np.arange(len(word)) - at[np.cumsum(new) - 1]) % longest == 0
+    broken = np.searchsorted(lines, word[1:]) > np.searchsorted(lines, end[:-1])
+    new[1:] = (doc[1:] != doc[:-1]) | STOP[b.data[end[:-1] - 1]] | broken
+    new = cut_long(new, lambda k: marks(b.data, word[k], end[k]), longest)
     at = np.flatnonzero(new)
     stop = np.append(at[1:], len(word))
     return word[at], end[stop - 1], stop - at, doc[at]
@@ -83,12 +126,12 @@ class Spans:
 
     def question(self, b: Batch):
         _, _, _, _, _, h, ids, place = self.find(b)
-        return [(k, pack(h[s, 0].copy(), h[s, 1].copy(), ids[s], place[s], np.full(s.stop - s.start, b.number))) for k, s in by_bucket(h[:, 0] % U(self.buckets))]
+        return [(k, pack(h[s, 0].copy(), h[s, 1].copy(), ids[s], place[s].astype(np.uint32))) for k, s in by_bucket(h[:, 0] % U(self.buckets))]
 
     def answer(self, bucket: int, blobs: list[bytes]) -> list[bytes]:
-        """For each entry: is it the first of its group?"""
-        (one, two, ids, place, number), cuts = gather(blobs, U, U, np.int64, np.int64, np.int64)
-        order = np.lexsort((number, place, ids, two, one))
+        """For each entry: is it the first of its group? Of equal ones, that of the lowest batch."""
+        (one, two, ids, place), cuts = gather(blobs, U, U, np.int64, np.uint32)
+        order = np.lexsort((place, ids, two, one))
         new = np.ones(len(order), bool)
         new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
         out = np.empty(len(order), bool)

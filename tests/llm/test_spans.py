@@ -1,24 +1,51 @@
+import itertools
 import random
 import re
 
-from factloom.llm import spans
+import numpy as np
+
+from factloom.llm import exchange, spans
+
+
+def mark(word):
+    """The hash by which words of long sentences are compared."""
+    full = 2**64 - 1
+    h = len(word)
+    for k in range(8):
+        h = (h * 0x9E3779B97F4A7C15 & full) ^ (word[k] if k < len(word) else 0)
+    h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & full
+    return h ^ h >> 32
+
+
+def pieces_of(raw, longest=14):
+    """Places of words, in a list for each sentence or part of one."""
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    sents = []
+    for i, (a, e) in enumerate(words):
+        if not i or raw[words[i - 1][1] - 1 : words[i - 1][1]] in b".!?" or b"\n" in raw[words[i - 1][1] : a]:
+            sents.append([])
+        sents[-1].append((a, e))
+    out = []
+    for s in sents:
+        cut = {0}
+        if len(s) > longest:
+            h = [mark(raw[a:e]) for a, e in s]
+            near = longest // 2
+            for i in range(len(s) - near + 1):
+                cut.add(max(range(i, i + near), key=lambda k: (-h[k], k)))
+        edges = [*sorted(cut), len(s)]
+        out += [s[a:b] for a, b in zip(edges, edges[1:])]
+    return out
 
 
 def slow(rows):
     found, parts = {}, []
     for r, (d, t) in enumerate(rows):
-        words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode() if t else b"")]
-        raw, sents = (t or "").encode(), []
-        for i, (a, e) in enumerate(words):
-            if not i or raw[words[i - 1][1] - 1 : words[i - 1][1]] in b".!?" or b"\n" in raw[words[i - 1][1] : a]:
-                sents.append([[]])
-            if len(sents[-1][-1]) == 16:
-                sents[-1].append([])
-            sents[-1][-1].append((a, e))
-        pieces = [p for s in sents for p in s]
+        raw = (t or "").encode()
+        pieces = pieces_of(raw)
         parts.append((raw, pieces))
         for i in range(len(pieces)):
-            j = i + 3
+            j = i + 2
             while j <= len(pieces) and sum(map(len, pieces[i:j])) < 20:
                 j += 1
             if j <= len(pieces):
@@ -47,12 +74,43 @@ def test_same_as_brute_force(spark):
     assert got == slow(rows)
 
 
-def test_answers_too_large_to_broadcast(spark, monkeypatch):
-    rows = [(i, "One two three four five six seven. Eight nine ten eleven twelve thirteen. " * (i % 3) + f"Word{i} is here now. And that is all of it then.") for i in range(30)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = sorted(map(tuple, spans.remove_passages(df).collect()))
-    monkeypatch.setattr("factloom.llm.exchange.BROADCAST_BYTES", -1)
-    assert sorted(map(tuple, spans.remove_passages(df).collect())) == want
+def test_many_small_batches(spark, monkeypatch):
+    """Texts in many batches: the same result, and texts are not shuffled for the answers."""
+    rng = random.Random(7)
+    shared = " ".join(f"shared{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 90))) + (". " + shared if i % 3 else "") + " end" * (i % 4)) for i in range(60)] + [(100, "long " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(exchange, "BATCH_BYTES", 2000)
+    out = spans.remove_passages(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((str(r.doc_id), r.n_sentences, r.n_removed, r.text) for r in out.collect()) == slow(rows)
+    assert not exchange.bucket_of(np.array([5, 2**40 + 3]), 7).tolist() == [0, 0]
+    numbers = np.fromiter(itertools.islice(exchange.numbers(9, 7), 50), np.int64)
+    real = [r.b for r in spark.createDataFrame([(int(n),) for n in numbers], "n long").selectExpr("pmod(hash(n), 7) as b").collect()]
+    assert real == [9 % 7] * 50
+
+
+def test_passages_in_mid_sentence(spark):
+    """Passages of 51 to 80 words, planted in the middle of longer sentences of other documents, lose most of their words."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    def run(n):
+        return " ".join(word() + rng.choice(["", "", "", "", "", "", "", ".", ","]) for _ in range(n))
+
+    passages = [run(rng.randint(51, 80)) for _ in range(60)]
+    rows = [(i, f"{run(rng.randint(5, 40))} {p} {run(rng.randint(5, 40))}") for i, p in enumerate(passages)]
+    rows += [(100 + i, f"{run(rng.randint(3, 40))} {p} {run(rng.randint(3, 40))}") for i, p in enumerate(passages)]
+    rows += [(200 + i, run(120)) for i in range(60)]
+    got = {r.doc_id: r.text for r in spans.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = []
+    for d, t in rows:
+        if 100 <= d < 200:
+            p = passages[d - 100].split()
+            lost.append(1 - sum(w in set(got[d].split()) for w in p) / len(p))
+        else:
+            assert got[d] == t
+    assert min(lost) > 0.25 and sum(lost) / len(lost) > 0.7
 
 
 def test_empty(spark):
