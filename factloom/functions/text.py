@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,11 +87,40 @@ def sql_relationship(sql: Column) -> Column:
     )
 
 
+# The marks, and the public formats of keys and tokens.
+KEY_BLOCK = r"-----BEGIN [A-Z0-9 _-]*PRIVATE KEY(?:\s+BLOCK)?-----(?s:.*?)-----END [A-Z0-9 _-]*PRIVATE KEY(?:\s+BLOCK)?-----"
+TOKENS = (
+    r"sk-(?:test-|live-|proj-|ant-)?[A-Za-z0-9_-]{4,}", r"rk_(?:test|live)_[A-Za-z0-9]{4,}", r"AIza[0-9A-Za-z_-]{16,}", r"(?:AKIA|ASIA)[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{16,}",
+    r"github_pat_[A-Za-z0-9_]{16,}", r"glpat-[A-Za-z0-9_-]{10,}", r"hf_[A-Za-z0-9]{10,}", r"xox[baprs]-[A-Za-z0-9-]{10,}", r"eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}",
+)
+TOKEN = r"\b(?:" + "|".join(TOKENS) + r")\b"
+BEARER = r"(?i)\b(Authorization\s*[:=]\s*[\"']?(?:Bearer|Basic|Token)\s+)[^\s\"'`,;]+"
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+CREDENTIALS = r"://[^/\s:@]+:[^/\s@]+@"
+#: an assignment to a name that denotes a secret; values that are code or were replaced already are marked before
+ASSIGNED = r"\b([A-Za-z0-9_]*(?i:password|passwd|secret|token|api_?key|private_?key|credential)s?)\b(\s*\"?\s*[:=]\s*[\"']?)"
+CODE = ASSIGNED + r"(os\.|settings\.|config\.|env\.|None\b|null\b|\[REDACTED|\$)"
+SECRET = ASSIGNED + "[^\\s\"'#,;}\\]\x01]+"
+#: each pass with what a text must hold for it to be worth a try
+PASSES = (
+    (KEY_BLOCK, "[REDACTED_PRIVATE_KEY]", ("PRIVATE KEY",)), (EMAIL, "[EMAIL]", ("@",)), (CREDENTIALS, "://[REDACTED]@", ("://",)),
+    (TOKEN, "[REDACTED_SECRET]", ("sk-", "rk_", "AIza", "AKIA", "ASIA", "gh", "glpat-", "hf_", "xox", "eyJ")), (BEARER, "$1[REDACTED]", ("uthorization", "UTHORIZATION")),
+    (CODE, "$1$2\x01$3", ("=", ":")), (SECRET, "$1$2[REDACTED]", ("=", ":")), ("\x01", "", ("\x01",)),
+)
+
+
 def redact(text: Column) -> Column:
-    """Addresses, URL credentials and assigned secrets replaced."""
-    out = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
-    out = F.regexp_replace(out, r"://[^/\s:@]+:[^/\s@]+@", "://[REDACTED]@")
-    return F.regexp_replace(out, r"(password|passwd|secret|token|api_key) ?[:=] ?[\"']?[A-Za-z0-9+/_.=-]{8,}[\"']?", "$1=[REDACTED]")
+    """Key blocks, addresses, URL credentials, tokens of known formats, authorization headers and assigned secrets replaced.
+
+    A pass over a text is made only if the text holds what the pass looks for.
+    """
+    def passed(pattern, mark, signs):
+        return lambda x: F.when(reduce(or_, (x.contains(s) for s in signs)), F.regexp_replace(x, pattern, mark)).otherwise(x)
+
+    out = F.array(text)  # as an array, so that the text of one pass is computed once for the next
+    for pattern, mark, signs in PASSES:
+        out = F.transform(out, passed(pattern, mark, signs))
+    return F.get(out, F.lit(0))
 
 
 def hash_sample(key: Column, rate: float) -> Column:

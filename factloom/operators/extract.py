@@ -205,45 +205,82 @@ def python_facts(path: str, text: str) -> list[tuple]:
 
 
 JS = {
-    "symbols": re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:(function\*?|class|interface)\s+([A-Za-z_$][\w$]*)|(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*=>)(?:.*?\bextends\s+([\w$.]+))?"),
+    "symbols": re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?:(?P<kind>function\*?|class|interface)\s+(?P<name>[A-Za-z_$][\w$]*)|(?:const|let|var)\s+(?P<const>[A-Za-z_$][\w$]*)\s*(?::\s*[^=]+)?=\s*(?:async\s*)?(?:\((?P<arrow>(?:[^()]|\([^()]*\))*)\)\s*(?::\s*(?P<made>[\w$<>\[\]., |]+?)\s*)?|(?P<one>[\w$]+)\s*)=>)"),
+    "parameters": re.compile(r"\s*(?:<[^>]*>)?\s*\((?P<list>(?:[^()]|\([^()]*\))*)\)\s*(?::\s*(?P<returns>[\w$<>\[\]., |]+?)\s*)?(?:\{|$)"),
+    "extends": re.compile(r"\bextends\s+([\w$.]+)"), "implements": re.compile(r"\bimplements\s+([\w$., ]+)"),
+    "method": re.compile(r"^\s*(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*(?P<name>#?[A-Za-z_$][\w$]*)(?P<rest>\s*\((?:[^()]|\([^()]*\))*\)[^;{]*\{)"),
     "imports": re.compile(r"^\s*(?:import\s+(?:(.+?)\s+from\s+)?|export\s+.+?\s+from\s+|.*\brequire\()['\"]([^'\"]+)['\"]"),
     "routes": re.compile(r"\b([A-Za-z_$][\w$]*)\.(get|post|put|patch|delete|all)\(\s*['\"`](/[^'\"`]*)['\"`]\s*,\s*(?:.*?([A-Za-z_$][\w$.]*)\s*\)?;?\s*$)?"),
     "mounts": re.compile(r"\b([A-Za-z_$][\w$]*)\.use\(\s*['\"`](/[^'\"`]*)['\"`]\s*,\s*([A-Za-z_$][\w$.]*)"),
     "fetches": re.compile(r"\b(?:fetch|axios(?:\.(get|post|put|patch|delete))?)\(\s*['\"`]([^'\"`]+)['\"`](?:.*?method:\s*['\"](\w+)['\"])?"),
     "calls": re.compile(r"([A-Za-z_$][\w$.]*)\s*\("),
 }
-JS_WORDS = {"if", "for", "while", "switch", "catch", "function", "return", "require", "import", "super"}
+JS_WORDS = {"if", "for", "while", "switch", "catch", "function", "return", "require", "import", "super", "async", "await", "constructor"}
+
+
+def arguments_of(text: str) -> list[str]:
+    """Parts of a list by commas outside brackets."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(text + ","):
+        depth += (c in "([{<") - (c in ")]}>")
+        if c == "," and (depth <= 0 or i == len(text)):
+            out.append(text[start:i].strip())
+            start = i + 1
+    return [x for x in out if x]
 
 
 def script_facts(path: str, text: str) -> list[tuple]:
-    """Facts of JavaScript and TypeScript by lines and braces."""
-    rows, module, open_, depth = [], module_of(path), [], 0
+    """Facts of JavaScript and TypeScript by lines and braces. What a brace opens ends where it closes;
+    a symbol's body hash is that of its lines without their margins, as for Python."""
+    lines, rows, module = text.splitlines(), [], module_of(path)
+    open_: list[tuple[str, str, int, int]] = []  # name, kind, depth, place in rows
+    depth = 0
     put = lambda fact, name, owner, detail, line, items=(), **extra: rows.append((fact, path, name, owner, detail, line, line, {k: str(v) for k, v in extra.items()}, list(items)))
-    for n, line in enumerate(text.splitlines(), 1):
+
+    def close(at: int, last: int):
+        r = rows[at]
+        body = "\n".join(x.strip() for x in lines[r[5] - 1 : last])
+        rows[at] = (*r[:6], last, r[7] | {"hash": hashlib.sha256(body.encode()).hexdigest()}, r[8])
+
+    for n, line in enumerate(lines, 1):
         code = re.sub(r"//.*$", "", line) if "://" not in line else line
-        scope = ".".join([module, *(name for name, _, _ in open_)])
-        if m := JS["symbols"].match(code):
-            name, kind = m[2] or m[3], (m[1] or "function").rstrip("*")
-            qualified = f"{scope}.{name}"
-            put("symbols", name, scope, kind, n, qualified=qualified, signature="", parameters=0, returns="", doc="", hash="")
-            if m[4]:
-                put("inheritance", m[4], qualified, "EXTENDS", n)
-            if "{" in code:
-                open_.append((name, depth, len(rows)))
-        if m := JS["imports"].match(code):
-            put("imports", (m[1] or "").strip("{} "), m[2], "", n, level=0)
-        if m := JS["routes"].search(code):
-            put("routes", m[3], m[1], m[2].upper(), n, framework="express", handler=m[4] or "")
-        if m := JS["mounts"].search(code):
-            put("mounts", m[3], m[1], m[2], n)
-        for m in JS["fetches"].finditer(code):
-            put("fetches", m[2], scope, (m[3] or m[1] or "GET").upper(), n)
-        for m in JS["calls"].finditer(code):
-            if m[1] not in JS_WORDS and not re.search(r"\b(function|class)\s+$", code[: m.start()]):
-                put("calls", m[1], scope, "", n)
+        scope, own = ".".join([module, *(x[0] for x in open_)]), None
+        inside = open_[-1] if open_ else None
+        m = JS["symbols"].match(code)
+        member = JS["method"].match(code) if not m and inside and inside[1] == "class" and depth == inside[2] + 1 else None
+        if m or member:
+            kind = "method" if member else (m["kind"] or "function").rstrip("*")
+            own = member["name"] if member else m["name"] or m["const"]
+            given = JS["parameters"].match(member["rest"]) if member else JS["parameters"].match(code, m.end()) if m["kind"] and kind == "function" else None
+            listed = given["list"] if given else (m["arrow"] or m["one"] or "") if m else ""
+            returns = (given["returns"] if given else m["made"] if m else "") or ""
+            callable_ = kind in ("function", "method")
+            put("symbols", own, scope, kind, n, qualified=f"{scope}.{own}", signature=f"({listed.strip()})" if callable_ else "", parameters=len(arguments_of(listed)), returns=returns.strip(), doc="")
+            at = len(rows) - 1
+            if kind in ("class", "interface"):
+                if x := JS["extends"].search(code):
+                    put("inheritance", x[1], f"{scope}.{own}", "EXTENDS", n)
+                if x := JS["implements"].search(code):
+                    for name in arguments_of(x[1]):
+                        put("inheritance", name, f"{scope}.{own}", "IMPLEMENTS", n)
+            close(at, n)
+            if code.count("{") > code.count("}"):
+                open_.append((own, kind, depth, at))
+        within = ".".join([scope, own]) if own and kind in ("function", "method") else scope
+        if x := JS["imports"].match(code):
+            put("imports", (x[1] or "").strip("{} "), x[2], "", n, level=0)
+        if x := JS["routes"].search(code):
+            put("routes", x[3], x[1], x[2].upper(), n, framework="express", handler=x[4] or "")
+        if x := JS["mounts"].search(code):
+            put("mounts", x[3], x[1], x[2], n)
+        for x in JS["fetches"].finditer(code):
+            put("fetches", x[2], within, (x[3] or x[1] or "GET").upper(), n)
+        for x in JS["calls"].finditer(code):
+            if x[1] not in JS_WORDS and not (own and x[1] == own) and not re.search(r"\b(function\*?|class|new)\s+$", code[: x.start()]):
+                put("calls", x[1], within, "", n)
         depth += code.count("{") - code.count("}")
-        while open_ and depth <= open_[-1][1]:
-            open_.pop()
+        while open_ and depth <= open_[-1][2]:
+            close(open_.pop()[3], n)
     return rows
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,6 +76,19 @@ def span_depths(spans: DataFrame, trace: str, span: str, parent: str) -> DataFra
     return now.select(F.col("t").alias("trace"), F.col("s").alias("span"), F.col("up").alias("root"), "depth")
 
 
+def trace_forest(spans: DataFrame, trace: str, span: str, parent: str, service: str, operation: str, status: str, duration: str) -> DataFrame:
+    """For each trace: roots, spans, deepest level, services in order, database operations, whether a status is an
+    error (400 or more), the longest duration and a one-line summary. Spans without a service are of unknown_service."""
+    levels = span_depths(spans, trace, span, parent).groupBy("trace").agg(F.countDistinct("root").alias("roots"), F.max("depth").alias("deepest"))
+    name = F.coalesce(F.nullif(F.col(service), F.lit("")), F.lit("unknown_service"))
+    found = spans.groupBy(F.col(trace).alias("trace")).agg(
+        F.count("*").alias("spans"), F.array_sort(F.collect_set(name)).alias("services"), F.count(F.nullif(F.col(operation), F.lit(""))).alias("db_queries"),
+        F.coalesce(F.max(F.col(status) >= 400), F.lit(False)).alias("has_errors"), F.coalesce(F.max(duration), F.lit(0.0)).cast("double").alias("duration_ms"),
+    )
+    text = F.format_string("Trace %s: %d spans across %d service(s), %d DB queries, total duration %.1fms.", F.substring(F.col("trace").cast("string"), 1, 8), "spans", F.size("services"), "db_queries", "duration_ms")
+    return found.join(levels, "trace").withColumn("summary", text)
+
+
 def reconcile(expected: DataFrame, observed: DataFrame, source: str, target: str) -> DataFrame:
     """source, target, status, other. Expected and observed hold (source, target).
 
@@ -122,13 +137,45 @@ def replace_paths(old: DataFrame, new: DataFrame, dirty: DataFrame, key: str, fa
     return old.join(gone, key, "left_anti").unionByName(new.join(gone, key, "left_semi"))
 
 
-def top_similar(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, rank, cosine. queries (query_id, q) are broadcast up to 1,000 vectors, else joined without."""
-    some = F.broadcast(queries) if queries.limit(1001).count() <= 1000 else queries
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    score = dot(F.col("v"), F.col("q")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("q"), F.col("q")))
-    pairs = v.join(some, F.col("vec_id") != F.col("query_id")).withColumn("cosine", score)
+def top_similar(vectors: DataFrame, queries: DataFrame, k: int, tile: int = 1 << 15, block: int = 1 << 10) -> DataFrame:
+    """query_id, vec_id, rank, cosine: for each query (query_id, q) the k nearest vectors (vec_id, embedding) but itself.
+
+    Blocks of queries meet tiles of vectors, and only the k best of each meeting go on. Vectors that are null,
+    zero or hold null or non-finite components, and those of another length than the query, take no part.
+    """
+    one = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.lit(False).alias("asks"))
+    two = queries.select(F.col("query_id").cast("long").alias("id"), F.col("q").cast("array<double>").alias("v"), F.lit(True).alias("asks"))
+    tiles, blocks = (max(1, -(-df.count() // n)) for df, n in ((one, tile), (two, block)))
+    part = lambda n: F.pmod(F.xxhash64("id", F.lit(11)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    met = one.withColumn("t", part(tiles)).withColumn("b", every(blocks)).unionByName(two.withColumn("b", part(blocks)).withColumn("t", every(tiles)))
+    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("cosine", pa.float64())])
+
+    def nearest(t: pa.Table) -> pa.Table:
+        found: dict[str, list] = {"query_id": [], "vec_id": [], "cosine": []}
+        ids, asks = t["id"].to_numpy(), t["asks"].to_numpy()
+        lists = t["v"].combine_chunks()
+        length = lists.value_lengths().fill_null(0).to_numpy()
+        start, flat = lists.offsets.to_numpy()[:-1], lists.values.to_numpy(zero_copy_only=False)
+        for d in np.unique(length[length > 0]).tolist():
+            i = np.flatnonzero(length == d)
+            x = flat[start[i][:, None] + np.arange(d)]
+            size = np.sqrt((x * x).sum(axis=1))
+            good = np.isfinite(size) & (size > 0)
+            i, x = i[good], x[good] / size[good, None]
+            q, c = np.flatnonzero(asks[i]), np.flatnonzero(~asks[i])
+            for a in q.tolist():
+                score = x[c] @ x[a]
+                own = ids[i[c]] != ids[i[a]]
+                score, names = score[own], ids[i[c]][own]
+                least = np.partition(score, -k)[-k] if len(score) > k else -2.0
+                near = np.flatnonzero(score >= least - 1e-9)  # ties with the last stay in; the window decides
+                found["query_id"] += [int(ids[i[a]])] * len(near)
+                found["vec_id"] += names[near].tolist()
+                found["cosine"] += (x[c][own][near] * x[a]).sum(axis=1).tolist()  # equal vectors get equal sums
+        return pa.table(found, schema=out)
+
+    pairs = met.groupBy("t", "b").applyInArrow(nearest, "query_id long, vec_id long, cosine double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "cosine")
 

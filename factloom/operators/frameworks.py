@@ -53,7 +53,7 @@ def provider_edges(symbols: DataFrame, injects: DataFrame) -> DataFrame:
 
 
 def registry_edges(bindings: DataFrame, calls: DataFrame) -> DataFrame:
-    """Entries of dictionaries of handlers: the last assignment of a name wins; calls through it dispatch to each."""
+    """Entries of dictionaries of handlers: the last assignment of a name wins; calls through it, in its file, dispatch to each."""
     d = bindings.where("kind = 'dict'")
     last = F.row_number().over(W.partitionBy("scope", "name").orderBy(F.col("line").desc()))
     now = d.withColumn("_r", last).where("_r = 1")
@@ -61,7 +61,7 @@ def registry_edges(bindings: DataFrame, calls: DataFrame) -> DataFrame:
     registry = F.concat_ws(".", "scope", "name")
     registers = edge(items, registry, "h", "REGISTERS")
     used = calls.withColumn("r", F.regexp_extract("callee", r"^([A-Za-z_]\w*)\s*(?:\[|\.get\()", 1)).where("r <> ''").select("path", "line", "caller", "r")
-    hit = used.join(items.select(F.col("name").alias("r"), "h").distinct(), "r")
+    hit = used.join(items.select("path", F.col("name").alias("r"), "h").distinct(), ["path", "r"])
     return registers.unionByName(edge(hit, "caller", "h", "DISPATCHES_TO", "MEDIUM", "registry"))
 
 

@@ -99,11 +99,16 @@ def parent_inherit(spark, sf_dir):
 
 
 @query("""with recursive w(conv_id, turn, root, depth) as (select conv_id, turn, turn, 0 from conversations c where not exists (select 1 from conversations p where p.conv_id = c.conv_id and p.turn = c.turn - 1)
-union all select w.conv_id, c.turn, w.root, w.depth + 1 from w join conversations c on c.conv_id = w.conv_id and c.turn = w.turn + 1)
-select conv_id as trace, count(distinct root) as roots, count(*) as spans, max(depth) as deepest from w group by 1""")
+union all select w.conv_id, c.turn, w.root, w.depth + 1 from w join conversations c on c.conv_id = w.conv_id and c.turn = w.turn + 1),
+d as (select conv_id as trace, count(distinct root) as roots, max(depth) as deepest from w group by 1),
+g as (select conv_id as trace, count(*) as spans, array_to_string(list_sort(list(distinct coalesce(nullif(role, 'system'), 'unknown_service'))), ',') as services, count(distinct role) as _, count(*) filter (where role = 'assistant') as db_queries, bool_or(length(text) % 7 = 0) as has_errors, max(length(text) / 10.0)::double as duration_ms from conversations group by 1)
+select trace, roots, spans, deepest, services, db_queries, has_errors, duration_ms, printf('Trace %s: %d spans across %d service(s), %d DB queries, total duration %.1fms.', (trace::varchar)[1:8], spans, len(string_split(services, ',')), db_queries, duration_ms) as summary from g join d using (trace)""")
 def trace_forest(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations", "conv_id", "turn").withColumn("parent", F.col("turn") - 1)
-    return O.span_depths(c, "conv_id", "turn", "parent").groupBy("trace").agg(F.countDistinct("root").alias("roots"), F.count("*").alias("spans"), F.max("depth").alias("deepest"))
+    """Conversations as traces: turns as spans, roles as services, answers as database operations."""
+    c = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", (F.col("turn") - 1).alias("parent"), F.when(F.col("role") != "system", F.col("role")).otherwise("").alias("service"), F.when(F.col("role") == "assistant", "SELECT").otherwise("").alias("operation"),
+        F.when(F.length("text") % 7 == 0, 500).otherwise(200).alias("status"), (F.length("text") / F.lit(10.0)).alias("duration"))
+    return O.trace_forest(c, "conv_id", "turn", "parent", "service", "operation", "status", "duration").withColumn("services", F.array_join("services", ","))
 
 
 @query("""with e as (select distinct l_partkey as part, l_suppkey as supplier from lineitem where l_linenumber % 2 = 1), o as (select distinct l_partkey as part, l_suppkey as supplier from lineitem where l_linenumber % 2 = 0),
@@ -209,11 +214,11 @@ def invalidate_dependents(spark, sf_dir):
     return e.join(changed, "target", "left_semi").select(F.col("source").alias("dependent")).distinct().join(edited, "dependent", "left_anti")
 
 
-@query("""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings), s as (select q.vec_id as query_id, c.vec_id, list_cosine_similarity(q.e, c.e) as cosine from v q join v c on q.vec_id <> c.vec_id where q.vec_id < 20)
+@query("""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings), s as (select q.vec_id as query_id, c.vec_id, list_cosine_similarity(q.e, c.e) as cosine from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
 select query_id, vec_id, row_number() over (partition by query_id order by cosine desc, vec_id) as rank, cosine from s qualify rank <= 3""")
 def vector_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    return O.top_similar(v, v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")), 3)
+    return O.top_similar(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")), 3)
 
 
 @query("""with x as (select page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) as links, regexp_extract_all(html, '<script[^>]*>', 0) as scripts from pages)

@@ -127,21 +127,21 @@ def bfs_reverse_depth(spark, sf_dir):
     return G.bfs(e, spark.createDataFrame([(f"s:{i}", f"s:{i}") for i in range(3)], "seed string, node string"), 3, reverse=True)
 
 
-@query("with recursive " + EDGES + """, walk(seed, node, depth) as (select 'c:'||c_custkey, 'c:'||c_custkey, 0 from customer where c_custkey % 50 = 0
+@query("with recursive " + EDGES + """, walk(seed, node, depth) as (select 'c:'||c_custkey, 'c:'||c_custkey, 0 from customer
 union select w.seed, e.target, w.depth + 1 from walk w join edges e on e.source = w.node where w.depth < 5)
 select seed, split_part(node, ':', 1) as kind, count(distinct node) as n, min(depth) as nearest from walk group by 1, 2""")
 def dependency_closure(spark, sf_dir):
-    """Closure of every fiftieth customer by kind of node."""
-    seeds = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(node("c", "c_custkey").alias("seed"), node("c", "c_custkey").alias("node"))
+    """Closure of every customer by kind of node."""
+    seeds = table(spark, sf_dir, "customer").select(node("c", "c_custkey").alias("seed"), node("c", "c_custkey").alias("node"))
     return G.bfs(build_edges(spark, sf_dir), seeds, 5).groupBy("seed", F.split("node", ":")[0].alias("kind")).agg(F.count("*").alias("n"), F.min("depth").alias("nearest"))
 
 
-@query("with recursive " + EDGES + """, walk(seed, node, depth, path) as (select 'c:'||c_custkey, 'c:'||c_custkey, 0, ['c:'||c_custkey] from customer where c_custkey % 100 = 0
+@query("with recursive " + EDGES + """, walk(seed, node, depth, path) as (select 'c:'||c_custkey, 'c:'||c_custkey, 0, ['c:'||c_custkey] from customer
 union all select w.seed, e.target, w.depth + 1, list_append(w.path, e.target) from walk w join edges e on e.source = w.node and e.relationship in ('PLACED','CONTAINS','SUPPLIED_BY','LOCATED_IN','PART_OF') where w.depth < 3)
 select seed, node, depth, array_to_string(path, '>') as path from walk where node like 's:%' or node like 'r:%' qualify row_number() over (partition by seed, node order by depth, path) = 1""")
 def shortest_path(spark, sf_dir):
     """Shortest path from customers to suppliers and regions; the smallest in text order among equals."""
-    seeds = table(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(node("c", "c_custkey").alias("seed"), node("c", "c_custkey").alias("node"))
+    seeds = table(spark, sf_dir, "customer").select(node("c", "c_custkey").alias("seed"), node("c", "c_custkey").alias("node"))
     found = G.shortest_paths(build_edges(spark, sf_dir), seeds, 3).where("node like 's:%' or node like 'r:%'")
     return found.withColumn("path", F.array_join("path", ">"))
 
@@ -204,12 +204,12 @@ def dependents_union(spark, sf_dir):
 
 
 @query("""with recursive t as (select event_type as target, lag(event_type) over (partition by user_id order by ts, event_id) as source, user_id from events),
-s as (select source, target from t where source is not null and source <> target and user_id % 10 = 3 group by 1, 2 having count(*) > 1),
+s as (select source, target from t where source is not null and source <> target group by 1, 2 having count(*) > 1),
 w(path, node, n) as (select [source], target, 1 from s union all select list_append(path, node), s.target, n + 1 from w join s on s.source = w.node where node > path[1] and not list_contains(path, node) and n < 4)
 select array_to_string(path, '>') as cycle, n as length from w where node = path[1] and n > 1""")
 def cycle_detect(spark, sf_dir):
-    """Cycles in the graph of event transitions of some users."""
-    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type").where("user_id % 10 = 3")
+    """Cycles in the graph of event transitions."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
     before = F.lag("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     steps = e.select(before.alias("source"), F.col("event_type").alias("target")).where("source <> target").groupBy("source", "target").count().where("count > 1")
     return G.cycles(steps, 4).select(F.array_join("path", ">").alias("cycle"), "length")

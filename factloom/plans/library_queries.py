@@ -1,10 +1,9 @@
-"""Identifiers, security rules, path accuracy, efficiency and gates, with SQL."""
+"""Identifiers, path accuracy, efficiency and gates, with SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import security as X
 from ..functions import text as T
 from ..operators import evaluation as V
 from ..sources.tables import table
@@ -22,51 +21,6 @@ def query(sql: str | None = None):
     return add
 
 
-def values(names: list[str]) -> str:
-    return "(select unnest([" + ", ".join("'" + x.replace("'", "''") + "'" for x in names) + "]) as x)"
-
-
-PATHS = ["app/models/order.py", "app/__init__.py", "index.ts", "web/cart/index.tsx", "a.b/c.d.js", "init.lua", "../etc/passwd", ".env.local", "keys/server.PEM", "conf/secrets.yaml", "src/token.py"]
-
-
-@query("select x as path, case when m = '' then 'root' else replace(m, '/', '.') end as module from (select x, regexp_replace(regexp_replace(x, '\\.[A-Za-z0-9]+$', ''), '(^|/)(__init__|index|init)$', '') as m from " + values(PATHS) + ")")
-def module_identity(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p in PATHS], "path string").withColumn("module", T.module_of(F.col("path")))
-
-
-@query("select x as path, regexp_matches(x, '" + X.SENSITIVE_PATH + "') or regexp_matches(x, '" + X.TRAVERSAL + "') as sensitive from " + values(PATHS))
-def sensitive_paths(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p in PATHS], "path string").withColumn("sensitive", X.is_sensitive_path(F.col("path")))
-
-
-NAMES = ["OrderItem", "HTTPServer", "userID2Name", "already_snake", "A", "getURL"]
-
-
-@query("select x as name, lower(regexp_replace(regexp_replace(x, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) as snake from " + values(NAMES))
-def camel_to_snake(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in NAMES], "name string").withColumn("snake", T.camel_to_snake(F.col("name")))
-
-
-URLS = ["postgresql+psycopg://u:p@db.local:6543/shop?x=1", "mysql://root@h/app", "redis://cache:6379/0", "sqlite:///file.db", "mongodb://a.b.c/d"]
-
-
-@query("""with p as (select x, regexp_extract(x, '^([a-z]+)(?:\\+[a-z0-9]+)?://(?:[^@/]*@)?([^:/?]*)(?::([0-9]+))?(?:/([^?]*))?', ['a','b','c','d']) as r from """ + values(URLS) + """),
-q as (select x, case when r.a in ('postgresql','postgres') then 'postgres' else r.a end as provider, r.b as host, r.c as port, r.d as database from p)
-select x as url, provider, host, coalesce(try_cast(port as int), case provider when 'postgres' then 5432 when 'mysql' then 3306 when 'redis' then 6379 when 'mongodb' then 27017 end) as port, database from q""")
-def connection_metadata(spark, sf_dir):
-    return spark.createDataFrame([(u,) for u in URLS], "url string").withColumn("c", X.connection(F.col("url"))).select("url", "c.*")
-
-
-SECRETS = [("API_KEY", "short"), ("note", "kR7pQ2xV9mZ4tY8bN3cJ6hL1w"), ("path", "a/b/c/kR7pQ2xV9mZ4tY8bN3cJ6hL1w"), ("words", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa"), ("db.password", ""), ("tokenizer", "x")]
-
-
-@query("""with v as (select unnest(['""" + "','".join(n for n, _ in SECRETS) + """']) as name, unnest(['""" + "','".join(v for _, v in SECRETS) + """']) as value),
-e as (select name, value, list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: -(length(value) - length(replace(value, c, ''))) / length(value) * log2((length(value) - length(replace(value, c, ''))) / length(value)))) as h from v)
-select name, regexp_matches(name, '""" + X.SECRET_NAME + """') or (length(value) >= 24 and not regexp_matches(value, '[/.]') and coalesce(h, 0) >= 4.2) as secret from e""")
-def secret_names(spark, sf_dir):
-    return spark.createDataFrame(SECRETS, "name string, value string").select("name", X.is_secret(F.col("name"), F.col("value")).alias("secret"))
-
-
 @query("select event_id, substr(sha256('salt-1' || user_id || ':' || event_type), 1, 16) as correlation from events")
 def correlation_ids(spark, sf_dir):
     e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type")

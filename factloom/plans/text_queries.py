@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -23,11 +25,12 @@ def query(sql: str | None = None):
     return add
 
 
-@query(r"""with w as (select doc_id, list_filter(regexp_split_to_array(split_part(text, chr(10), 1), '[^A-Za-z0-9_]+'), lambda x: length(x) >= 2 and x not in ('AND','OR','NOT')) as l from documents)
-select doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') as terms from w""")
+@query(r"""with e as (select doc_id, unnest(l) as t, unnest(range(len(l))) as i from (select doc_id, regexp_split_to_array(text, '[^A-Za-z0-9_]+') as l from documents)),
+f as (select doc_id, t, min(i) as i from e where length(t) >= 2 and t not in ('AND','OR','NOT') group by 1, 2), g as (select doc_id, string_agg(t, ' ' order by i) as terms from f group by 1)
+select doc_id, case when text is not null then coalesce(terms, '') end as terms from documents left join g using (doc_id)""")
 def tokenize_terms(spark, sf_dir):
     d = table(spark, sf_dir, "documents", "doc_id", "text")
-    return d.select("doc_id", F.array_join(T.terms(F.get(T.lines(F.col("text")), F.lit(0))), " ").alias("terms"))
+    return d.select("doc_id", F.array_join(T.terms(F.col("text")), " ").alias("terms"))
 
 
 BM25 = r"""w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') as l from documents),
@@ -100,7 +103,16 @@ def item_utility(spark, sf_dir):
     return c.select("doc_id", F.greatest(F.lit(10), F.floor(raw * 13 / 10) - F.when(F.col("base") < 400, 250).otherwise(0)).cast("long").alias("utility"))
 
 
-@query()
+@query("with recursive " + CANDIDATES.replace("x as (select d.doc_id, source, lang,", "x as (select d.doc_id, source, lang, greatest(1, n_chars // 4) as tokens,") + """,
+items as (select *, row_number() over (partition by source order by base desc, doc_id) as i, count(*) over (partition by source) as n from x),
+walk(source, step, used, seen, taken, doc_id, accepted, reason) as (
+  select distinct source, 0, 0::bigint, []::varchar[], []::bigint[], null::bigint, null::boolean, null::varchar from items union all
+  select source, step + 1, used + case when reason in ('COVERAGE','UTILITY') then tokens else 0 end, case when reason in ('COVERAGE','UTILITY') then list_append(seen, lang) else seen end,
+    case when reason in ('COVERAGE','UTILITY') then list_append(taken, doc_id) else taken end, doc_id, reason in ('COVERAGE','UTILITY'), reason
+  from (select w.source, w.step, w.used, w.seen, w.taken, x.doc_id, x.lang, x.tokens, case when w.step < x.n and list_contains(w.seen, x.lang) or w.step >= x.n and list_contains(w.taken, x.doc_id) then null
+      when x.base < 350 then 'LOW_SCORE' when w.used + x.tokens > 4000 then 'TOKEN_LIMIT' when w.step < x.n then 'COVERAGE' else 'UTILITY' end as reason
+    from walk w join items x on x.source is not distinct from w.source and x.i = w.step % x.n + 1 where w.step < 2 * x.n))
+select source, doc_id, arg_max(accepted, step) as accepted, arg_max(reason, step) as reason from walk where reason is not null group by source, doc_id""")
 def budget_select(spark, sf_dir):
     c = _candidates(spark, sf_dir).withColumn("tokens", F.greatest(F.lit(1), F.floor(F.col("n_chars") / 4)).cast("long"))
     return S.budget_select(c, "source", "doc_id", "tokens", "base", "lang", 4000, 350)
@@ -212,33 +224,22 @@ def schema_drift(spark, sf_dir):
     return x.select("column", F.when(F.col("observed").isNull(), "MISSING_COLUMN").when(F.col("declared").isNull(), "UNUSED_COLUMN").otherwise("TYPE_MISMATCH").alias("issue"))
 
 
-STATEMENTS = [
-    "SELECT * FROM public.orders WHERE id = 42 -- by key", "insert into  items (a, b) values (1, 'x''y'), (2, 'z')", "UPDATE shop.stock SET n = n - 1.5 WHERE sku IN ('a', 'b', 'c')",
-    "DELETE FROM carts", "CREATE TABLE IF NOT EXISTS audit_log (id int)", "WITH x AS (SELECT 1) SELECT * FROM x", "VACUUM",
-]
-SQLS = "q as (select unnest(range(1, 8)) as id, unnest([" + ", ".join("'" + s.replace("'", "''") + "'" for s in STATEMENTS) + "]) as sql)"
-
-
-def _statements(spark):
-    return spark.createDataFrame([(i + 1, s) for i, s in enumerate(STATEMENTS)], "id long, sql string")
-
-
-@query("with " + SQLS + r""" select id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(sql, '--[^\n]*', ' ', 'g'), '''[^'']*''', '?', 'g'), '\b[0-9]+(\.[0-9]+)?\b', '?', 'g'), '\(\s*\?(\s*,\s*\?)*\s*\)', '(?)', 'g'), '\s+', ' ', 'g')) as normal from q""")
-def sql_normalize(spark, sf_dir):
-    return _statements(spark).select("id", T.normalize_sql(F.col("sql")).alias("normal"))
+def _redacted(text: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    for pattern, mark, _ in T.PASSES:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(re.sub(r'[$]([0-9])', lambda m: chr(92) + m[1], mark))}, 'g')"
+    return text
 
 
-@query("with " + SQLS + r""", x as (select id, upper(regexp_extract(sql, '^\s*([A-Za-z]+)', 1)) as operation, regexp_extract(sql, '(?i)\b(?:from|into|update|table)\s+(?:if\s+(?:not\s+)?exists\s+)?([A-Za-z_][A-Za-z0-9_.]*)', 1) as t from q)
-select id, operation, case when t = '' then 'UNKNOWN' else lower(string_split(t, '.')[-1]) end as table_name, case when operation in ('SELECT','WITH') then 'READS_TABLE' when operation in ('INSERT','UPDATE','DELETE','MERGE') then 'WRITES_TABLE' when operation in ('CREATE','ALTER','DROP') then 'DEFINES_TABLE' else 'UNKNOWN' end as relationship from x""")
-def sql_classify(spark, sf_dir):
-    q = _statements(spark)
-    return q.select("id", T.sql_operation(F.col("sql")).alias("operation"), T.sql_table(F.col("sql")).alias("table_name"), T.sql_relationship(F.col("sql")).alias("relationship"))
+#: Documents, every other one with a secret of some format before its text.
+MARKED = """(select doc_id, case doc_id % 16 when 0 then 'AKIA'||upper(substring(md5(''||doc_id), 1, 16))||' ' when 1 then 'Authorization: Bearer '||md5(''||doc_id)||' ' when 2 then 'ghp_'||md5(''||doc_id)||' ' when 3 then 'db_password = "'||md5(''||doc_id)||'" '
+when 4 then 'API_KEY=os.getenv(1) ' when 5 then '-----BEGIN RSA PRIVATE KEY-----'||md5(''||doc_id)||'-----END RSA PRIVATE KEY----- ' when 6 then 'eyJ'||md5(''||doc_id)||'.'||md5('a')||'.'||md5('b')||' ' when 7 then 'postgres://u:'||md5(''||doc_id)||'@h/d ' else '' end || text as text from documents)"""
 
 
-@query(r"""with r as (select doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '://[^/\s:@]+:[^/\s@]+@', '://[REDACTED]@', 'g'), '(password|passwd|secret|token|api_key) ?[:=] ?["'']?[A-Za-z0-9+/_.=-]{8,}["'']?', '\1=[REDACTED]', 'g') as x from documents)
-select doc_id, md5(x) as digest, x <> text as changed from r""")
+@query("with r as (select doc_id, text, " + _redacted("text") + " as x from " + MARKED + ") select doc_id, md5(x) as digest, x <> text as changed from r")
 def redact_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("x", T.redact(F.col("text")))
+    """All documents, half of them with a secret of one of eight formats put before the text."""
+    d = spark.sql(f"select * from {MARKED.replace('documents', '{documents}')}", documents=table(spark, sf_dir, "documents", "doc_id", "text")).withColumn("x", T.redact(F.col("text")))
     return d.select("doc_id", F.md5("x").alias("digest"), (F.col("x") != F.col("text")).alias("changed"))
 
 

@@ -16,7 +16,7 @@ LANGUAGES = {
     ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".sql": "sql", ".prisma": "prisma", ".html": "html",
     ".htm": "html", ".jinja": "html", ".jinja2": "html", ".njk": "html", ".ejs": "html", ".lua": "luau", ".luau": "luau",
 }
-SENSITIVE = r"(^|/)(\.env(\..*)?|id_rsa|id_ed25519|.*\.(pem|key|p12|pfx)|credentials(\.json)?|\.npmrc|\.netrc|secrets?\.(ya?ml|json|toml))$"
+SENSITIVE = r"(?i)(^|/)(\.env(\..*)?|id_rsa|id_ed25519|.*\.(pem|key|p12|pfx)|credentials(\.json)?|\.npmrc|\.netrc|secrets?\.(ya?ml|json|toml))$"
 
 
 def glob_regex(patterns: list[str]) -> str:
@@ -85,7 +85,11 @@ def stored(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan(spark: SparkSession, folder: str, most_bytes: int = 1_000_000, ignore: list[str] | None = None) -> DataFrame:
     """path (relative), content, text, hash, language, category, skipped (reason or null)."""
-    rows = listed(spark, folder, most_bytes) if "://" not in folder else stored(spark, folder)
+    return judged(listed(spark, folder, most_bytes) if "://" not in folder else stored(spark, folder), most_bytes, ignore)
+
+
+def judged(rows: DataFrame, most_bytes: int, ignore: list[str] | None = None) -> DataFrame:
+    """Files (path, content, length) with what ``scan`` says of them."""
     inside = r"(^|/)(" + "|".join(d.replace(".", r"\.") for d in IGNORED_FOLDERS) + ")/"
     reason = (
         F.when(F.col("path").rlike(inside), "ignored_folder").when(F.col("path").rlike(glob_regex(ignore or [])), "ignored_pattern").when(F.col("path").rlike(SENSITIVE), "sensitive")
