@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from dataclasses import asdict, dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,26 @@ def build_plan(prompt: str, budget: int = 2000) -> Plan:
     return Plan(prompt, intent, keep, routes, paths, list(relationships), depth, budget)
 
 
+def task_or_query(task=None, query=None):
+    """The one of two inputs that is given (a text, a plan or a mapping); both only if they say the same.
+
+    A mapping says its raw_prompt, goal, task or query; one that says nothing takes a text given beside it.
+    """
+    def said(x) -> str:
+        if isinstance(x, dict):
+            x = next((x[k] for k in ("raw_prompt", "goal", "task", "query") if x.get(k)), "")
+        return str(x.prompt if isinstance(x, Plan) else x or "").strip()
+
+    both = [x.strip() if isinstance(x, str) else x for x in (query, task) if (x.strip() if isinstance(x, str) else x)]
+    if not both:
+        raise ValueError("a task or a query must be given")
+    texts = [t for t in map(said, both) if t]
+    if len(set(texts)) > 1:
+        raise ValueError(f"task and query differ: {texts}")
+    rich = next((x for x in both if not isinstance(x, str)), both[0])  # structure says more than a text
+    return {**rich, "raw_prompt": texts[0]} if isinstance(rich, dict) and texts and not said(rich) else rich
+
+
 def candidates(plan: Plan, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """symbol, path, layer, score (thousandths): targets and their neighbours by the intent's weights.
 
@@ -163,3 +184,29 @@ def git_state(repository: str, indexed_commit: str | None) -> str:
     if run("status", "--porcelain").stdout.strip():
         return "DIRTY"
     return "CLEAN" if indexed_commit == head.stdout.strip() else "STALE"
+
+
+def git_head(repository: str) -> tuple[str | None, str | None]:
+    """Commit and branch of a working copy, from its files alone: (None, None) if it is none."""
+    root = Path(repository)
+    folder = root / ".git"
+    try:
+        if folder.is_file():  # a worktree names its folder
+            folder = (root / folder.read_text().partition("gitdir:")[2].strip()).resolve()
+        head = (folder / "HEAD").read_text().strip()
+        if not head.startswith("ref:"):
+            return (head, None) if re.fullmatch("[0-9a-fA-F]{40}", head) else (None, None)
+        ref = head[4:].strip()
+        branch = ref.removeprefix("refs/heads/")
+        shared = folder / "commondir"
+        places = [folder, (folder / shared.read_text().strip()).resolve()] if shared.exists() else [folder]
+        for place in places:
+            if (place / ref).exists():
+                return (place / ref).read_text().strip(), branch
+            if (place / "packed-refs").exists():
+                for line in (place / "packed-refs").read_text().splitlines():
+                    if line[:1] not in "#^" and line.split()[1:] == [ref]:
+                        return line.split()[0], branch
+        return None, branch
+    except OSError:
+        return None, None

@@ -122,6 +122,29 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
     return s.select(key, "started", "ended", "events")
 
 
+def change_batches(changes: DataFrame, key: str, path: str, ts: str, gap: float, most: int = 100) -> DataFrame:
+    """key, batch, started, ended, paths: bursts of changed paths that are at most gap seconds apart, closed
+    early when ``most`` different paths wait. A burst is one group, so a burst must fit in a task."""
+    seconds = F.col(ts).cast("timestamp").cast("double")
+    by = W.partitionBy(key).orderBy(ts, path)
+    new = F.when(seconds - F.lag(seconds).over(by) <= gap, 0).otherwise(1)
+    x = changes.select(key, path, ts).withColumn("_new", new).withColumn("_burst", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+
+    def cut(pdf):
+        waiting, number, out = set(), [], 0
+        for p in pdf.sort_values([ts, path])[path]:
+            number.append(out)
+            waiting.add(p)
+            if len(waiting) >= most:
+                waiting, out = set(), out + 1
+        return pdf.sort_values([ts, path]).assign(_part=number)[[key, "_burst", "_part", path, ts]]
+
+    kinds = dict(changes.dtypes)
+    parts = x.groupBy(key, "_burst").applyInPandas(cut, f"`{key}` {kinds[key]}, _burst long, _part long, `{path}` {kinds[path]}, `{ts}` {kinds[ts]}")
+    out = parts.groupBy(key, "_burst", "_part").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.countDistinct(path).alias("paths"))
+    return out.withColumn("batch", F.row_number().over(W.partitionBy(key).orderBy("_burst", "_part"))).select(key, "batch", "started", "ended", "paths")
+
+
 def compare(base: DataFrame, head: DataFrame, key: str, digest: str) -> DataFrame:
     """key, status of each row that differs: ADDED, REMOVED, MODIFIED."""
     b, h = base.select(key, F.col(digest).alias("b")), head.select(key, F.col(digest).alias("h"))

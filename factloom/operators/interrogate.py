@@ -204,3 +204,13 @@ def alias_paths(imports: DataFrame, aliases: DataFrame) -> DataFrame:
     keys = [c for c in imports.columns]
     best = hit.groupBy(*keys).agg(F.max_by(F.struct(F.col("_alias").alias("alias"), "target"), F.length("_alias")).alias("a"))
     return best.withColumn("resolved", F.when(F.col("a.alias").isNotNull(), F.concat("a.target", F.expr("substring(module, length(a.alias) + 1)"))).otherwise(F.col("module"))).drop("a")
+
+
+def migration_state(files: DataFrame) -> DataFrame:
+    """One row: digest, n and latest of the migration files among files (path, modified), by name."""
+    kinds = r"(^|/)migrations/[^/]*\.sql$|(^|/)prisma/migrations/.*\.sql$|(^|/)drizzle/[^/]*\.sql$|(^|/)alembic/versions/[^/]*\.py$"
+    found = files.where(F.col("path").rlike(kinds) & ~F.col("path").rlike(r"(^|/)(node_modules|\.git)/"))
+    x = found.agg(F.sort_array(F.collect_list(F.struct(F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("modified").cast("string").alias("modified")))).alias("f"))
+    text = F.array_join(F.transform("f", lambda r: F.concat(r["name"], F.lit(" "), r["modified"])), "\n")
+    none = F.size("f") == 0
+    return x.select(F.when(none, "").otherwise(F.substring(F.sha2(text, 256), 1, 16)).alias("digest"), F.size("f").alias("n"), F.when(none, "").otherwise(F.element_at("f", -1)["name"]).alias("latest"))

@@ -56,15 +56,16 @@ def best_line(docs: DataFrame, key: str, text: str, literal: str, wanted: list[s
 
 
 def penalized(rows: DataFrame, key: str, score: str, groups: dict[str, int]) -> DataFrame:
-    """Scores less a penalty for each group column that a better row has already; floor 0; with position."""
-    out = rows
-    total = F.col(score)
+    """Scores less a penalty for each group column that a better row has already; floor 0.
+
+    Only a group's best row escapes, which is a partial aggregate, so a hot group is no single task's.
+    """
+    out, total = rows, F.col(score)
     for column, penalty in groups.items():
-        n = F.row_number().over(W.partitionBy(column).orderBy(F.col(score).desc(), key))
-        out = out.withColumn(f"_n_{column}", n)
-        total = total - F.when(F.col(f"_n_{column}") > 1, penalty).otherwise(0)
-    out = out.withColumn("final", F.greatest(total, F.lit(0)))
-    return out.drop(*(f"_n_{c}" for c in groups))
+        best = rows.groupBy(F.col(column).alias(f"_g_{column}")).agg(F.min(F.struct(-F.col(score), F.col(key).alias("k")))["k"].alias(f"_b_{column}"))
+        out = out.join(best, F.col(column).eqNullSafe(F.col(f"_g_{column}")), "left")
+        total = total - F.when(F.col(key) == F.col(f"_b_{column}"), 0).otherwise(penalty)
+    return out.withColumn("final", F.greatest(total, F.lit(0))).select(*rows.columns, "final")
 
 
 def budget_select(items: DataFrame, task: str, key: str, tokens: str, score: str, layer: str, budget: int, least: int) -> DataFrame:

@@ -195,3 +195,21 @@ def skipped_files(spark, sf_dir):
     """Why files are not read, by the rules that the scan applies."""
     p = made(spark, sf_dir, "part", path="case when p_partkey % 20 = 7 then '.env.local' else " + PATH + " end").withColumn("content", F.encode(F.lit("x"), "UTF-8")).withColumn("length", F.lit(1).cast("long"))
     return scan.skip_counts(scan.judged(p, 1_000_000, ["skip_me*/"]))
+
+
+MIGRATION = case("p_partkey", "'db/migrations/'||lpad(''||p_partkey, 6, '0')||'.sql'", "'prisma/migrations/m'||p_partkey||'/migration_'||p_partkey||'.sql'", "'drizzle/'||p_partkey||'.sql'", "'alembic/versions/v'||p_partkey||'.py'", "'node_modules/x/migrations/'||p_partkey||'.sql'", "'src/'||p_partkey||'.sql'")
+
+
+@query(f"""with f as (select {MIGRATION} as path, p_size as modified from part), m as (select string_split(path, '/')[-1] as name, path, modified from f where path not like 'node_modules/%' and path not like 'src/%')
+select substring(sha256(string_agg(name||' '||modified, chr(10) order by name, path)), 1, 16) as digest, count(*)::int as n, arg_max(name, name) as latest from m""")
+def migration_state(spark, sf_dir):
+    """Digest, number and last of the migrations in a tree."""
+    return I.migration_state(made(spark, sf_dir, "part", path=MIGRATION, modified="p_size"))
+
+
+@query("""with recursive e as (select user_id, 'f'||(event_id % 400) as path, ts, row_number() over (partition by user_id order by ts, 'f'||(event_id % 400)) as i, epoch(ts) - epoch(lag(ts) over (partition by user_id order by ts, 'f'||(event_id % 400))) as apart from events),
+w(user_id, i, batch, waiting) as (select user_id, 1::bigint, 1, [path] from e where i = 1 union all select e.user_id, e.i, case when apart > 40000 or len(waiting) >= 5 then batch + 1 else batch end, case when apart > 40000 or len(waiting) >= 5 then [path] else list_distinct(list_append(waiting, path)) end from w join e on e.user_id = w.user_id and e.i = w.i + 1)
+select user_id, batch, min(ts) as started, max(ts) as ended, count(distinct path) as paths from w join e using (user_id, i) group by 1, 2""")
+def change_batches(spark, sf_dir):
+    """Bursts of changes of each user, closed after a pause or when five paths wait."""
+    return O.change_batches(made(spark, sf_dir, "events", user_id="user_id", path="'f'||(event_id % 400)", ts="ts"), "user_id", "path", "ts", 40000, 5)

@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import lookup as L
-from ..sources.tables import table
+from ..sources.tables import settle, table
 from .edges import EDGES, build_edges, node
 
 QUERIES, ORACLE_SQL = {}, {}
+KINDS = ("c", "o", "p", "s", "n", "r")
 LABELS = {"HIGH": 3, "MEDIUM": 2, "LOW": 1, "UNKNOWN": 0}
 
 
+def number(name):
+    """A node as one long: its kind in the high byte, its key below."""
+    column = F.col(name) if isinstance(name, str) else name
+    kind = F.array_position(F.array(*map(F.lit, KINDS)), F.substring(column, 1, 1)) - 1
+    return F.shiftleft(kind.cast("long"), 56).bitwiseOR(F.substring(column, 3, 20).cast("long"))
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -41,10 +49,12 @@ def blast_radius(spark, sf_dir):
 select 'node' as section, split_part(n, ':', 1) as name, count(distinct n) as n from (select source as n from edges union all select target from edges) group by 2
 union all select 'relationship', relationship, count(*) from edges group by 2 union all select 'confidence', confidence, count(*) from edges group by 2""")
 def graph_summary(spark, sf_dir):
+    """Nodes by kind, edges by relationship and by confidence: one pass for the edges, one for their ends."""
     e = build_edges(spark, sf_dir)
-    ends = e.select(F.col("source").alias("node")).unionAll(e.select("target")).distinct()
+    ends = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
     nodes = ends.groupBy(F.split("node", ":")[0].alias("name")).agg(F.count("*").alias("n")).select(F.lit("node").alias("section"), "name", "n")
-    count = lambda c: e.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(c).alias("section"), "name", "n")
+    both = settle(e.groupBy("relationship", "confidence").agg(F.count("*").alias("n")))
+    count = lambda c: both.groupBy(F.col(c).alias("name")).agg(F.sum("n").alias("n")).select(F.lit(c).alias("section"), "name", "n")
     return nodes.unionAll(count("relationship")).unionAll(count("confidence"))
 
 
@@ -131,9 +141,12 @@ def bfs_reverse_depth(spark, sf_dir):
 union select w.seed, e.target, w.depth + 1 from walk w join edges e on e.source = w.node where w.depth < 5)
 select seed, split_part(node, ':', 1) as kind, count(distinct node) as n, min(depth) as nearest from walk group by 1, 2""")
 def dependency_closure(spark, sf_dir):
-    """Closure of every customer by kind of node."""
-    seeds = table(spark, sf_dir, "customer").select(node("c", "c_custkey").alias("seed"), node("c", "c_custkey").alias("node"))
-    return G.bfs(build_edges(spark, sf_dir), seeds, 5).groupBy("seed", F.split("node", ":")[0].alias("kind")).agg(F.count("*").alias("n"), F.min("depth").alias("nearest"))
+    """Closure of every customer by kind of node; nodes are numbers while they are walked."""
+    e = build_edges(spark, sf_dir).select(number("source").alias("source"), number("target").alias("target"))
+    seeds = table(spark, sf_dir, "customer").select(number(node("c", "c_custkey")).alias("seed")).withColumn("node", F.col("seed"))
+    kind = F.get(F.array(*map(F.lit, KINDS)), F.shiftright("node", 56).cast("int"))
+    found = G.bfs(e, seeds, 5).groupBy("seed", kind.alias("kind")).agg(F.count("*").alias("n"), F.min("depth").alias("nearest"))
+    return found.withColumn("seed", F.concat(F.lit("c:"), F.col("seed").bitwiseAND((1 << 56) - 1)))
 
 
 @query("with recursive " + EDGES + """, walk(seed, node, depth, path) as (select 'c:'||c_custkey, 'c:'||c_custkey, 0, ['c:'||c_custkey] from customer
@@ -248,13 +261,18 @@ def compose_paths(spark, sf_dir):
 select 's:'||t as target, array_to_string(list_sort(list_distinct(list(op))), ',') as operations, case when bool_or(l_linestatus = 'O') then 'POSSIBLE' else 'AST_VERIFIED' end as evidence_class,
  min('o:'||l_orderkey||'>p:'||l_partkey||'>s:'||t) as chain, count(distinct l_orderkey) as orders, count(*) as accesses from x group by t""")
 def lineage_aggregate(spark, sf_dir):
-    """Accesses to each supplier through order and part: operations, worst evidence, smallest chain."""
-    op = F.when(F.col("l_returnflag") == "R", "WRITE").when(F.col("l_returnflag") == "A", "UPDATE").otherwise("READ")
+    """Accesses to each supplier through order and part: operations, worst evidence, smallest chain; by order first, then by supplier."""
     x = table(spark, sf_dir, "lineitem", "l_suppkey", "l_returnflag", "l_linestatus", "l_orderkey", "l_partkey")
-    chain = F.concat_ws(">", node("o", "l_orderkey"), node("p", "l_partkey"), node("s", "l_suppkey"))
-    return x.groupBy(node("s", "l_suppkey").alias("target")).agg(
-        F.array_join(F.array_sort(F.collect_set(op)), ",").alias("operations"), F.when(F.max((F.col("l_linestatus") == "O").cast("int")) == 1, "POSSIBLE").otherwise("AST_VERIFIED").alias("evidence_class"),
-        F.min(chain).alias("chain"), F.countDistinct("l_orderkey").alias("orders"), F.count("*").alias("accesses"))
+    some = lambda c: F.max(c)
+    kinds = {"WRITE": F.col("l_returnflag") == "R", "UPDATE": F.col("l_returnflag") == "A", "READ": ~F.coalesce(F.col("l_returnflag").isin("R", "A"), F.lit(False))}
+    by_order = x.groupBy("l_suppkey", "l_orderkey").agg(
+        *(some(c).alias(k) for k, c in kinds.items()), some(F.col("l_linestatus") == "O").alias("open"), F.min(F.col("l_partkey").cast("string")).alias("part"), F.count("*").alias("accesses"))
+    chain = F.concat(F.lit("o:"), "l_orderkey", F.lit(">p:"), "part", F.lit(">s:"), "l_suppkey")
+    found = by_order.groupBy("l_suppkey").agg(
+        *(some(k).alias(k) for k in kinds), some("open").alias("open"), F.min(chain).alias("chain"), F.count("*").alias("orders"), F.sum("accesses").alias("accesses"))
+    operations = F.array_sort(F.filter(F.array(*(F.when(F.col(k), k) for k in kinds)), lambda k: k.isNotNull()))
+    return found.select(
+        node("s", "l_suppkey").alias("target"), F.array_join(operations, ",").alias("operations"), F.when(F.col("open"), "POSSIBLE").otherwise("AST_VERIFIED").alias("evidence_class"), "chain", "orders", "accesses")
 
 
 @query("with recursive " + EDGES + """, walk(seed, node, depth, chain) as (select 's:0', 's:0', 0, ['s:0'] union all select w.seed, e.source, w.depth + 1, list_append(w.chain, e.source) from walk w join edges e on e.target = w.node and e.relationship in ('SUPPLIED_BY','CONTAINS','PLACED') where w.depth < 3)

@@ -1,5 +1,6 @@
 import subprocess
 
+import pytest
 from factloom.operators import context as C
 
 
@@ -32,3 +33,32 @@ def test_small_ones(spark, tmp_path):
         subprocess.run(["git", "-C", str(tmp_path), *a], check=True)
     (r,) = C.git_log(spark, str(tmp_path)).collect()
     assert r.subject == "first" and C.git_state(str(tmp_path), r.commit) == "CLEAN" and C.git_state(str(tmp_path), "x") == "STALE"
+
+
+def test_task_or_query():
+    from factloom.operators import context as C
+
+    plan = C.build_plan("fix a_b")
+    assert C.task_or_query(" x ", None) == "x" and C.task_or_query("", "y") == "y" and C.task_or_query("same", " same ") == "same"
+    assert C.task_or_query("fix a_b", plan) is plan and C.task_or_query(plan, "fix a_b") is plan
+    assert C.task_or_query({"goal": "g"}, "g") == {"goal": "g"} and C.task_or_query({"depth": 2}, "g") == {"depth": 2, "raw_prompt": "g"}
+    for bad in (("", None), ("x", "y"), ({}, " "), (plan, "other")):
+        with pytest.raises(ValueError):
+            C.task_or_query(*bad)
+
+
+def test_git_head(tmp_path):
+    from factloom.operators import context as C
+
+    assert C.git_head(str(tmp_path)) == (None, None)
+    git = tmp_path / ".git"
+    (git / "refs/heads").mkdir(parents=True)
+    (git / "HEAD").write_text("ref: refs/heads/work/a\n")
+    assert C.git_head(str(tmp_path)) == (None, "work/a")
+    (git / "packed-refs").write_text(f"# pack-refs\n{'1' * 40} refs/heads/work/a\n^{'3' * 40}\n")
+    assert C.git_head(str(tmp_path)) == ("1" * 40, "work/a")
+    (git / "refs/heads/work").mkdir()
+    (git / "refs/heads/work/a").write_text("2" * 40 + "\n")
+    assert C.git_head(str(tmp_path)) == ("2" * 40, "work/a")
+    (git / "HEAD").write_text("4" * 40)
+    assert C.git_head(str(tmp_path)) == ("4" * 40, None)
