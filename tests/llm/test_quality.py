@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import xxhash
 
 from factloom.llm import quality
 
@@ -40,3 +42,46 @@ def test_no_labels_or_rows(spark):
     none = spark.createDataFrame([], LABELS)
     assert [r.score for r in quality.score_documents(spark.createDataFrame([(1, "a", 1)], DOCS), none).collect()] == [0.5]
     assert quality.score_documents(spark.createDataFrame([], DOCS), none).collect() == []
+
+
+def test_vectors_and_network_by_plain_loops():
+    """Context sums, pooling and the forward pass against loops over words, rows and units."""
+    rng = random.Random(6)
+    words = ["Fine", "words,", "HERE", "a1", "##", "é", "fine", "xxxx"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))).encode() for _ in range(12)] + [b"", None]
+
+    def rows_of(text):
+        out = []
+        for w in (text or b"").split():
+            kinds = ["0" if 48 <= b < 58 else "A" if 65 <= b < 91 else "a" if 97 <= b < 123 or b >= 128 else chr(b) for b in w]
+            shape = "".join(c for i, c in enumerate(kinds) if not i or kinds[i - 1] != c)
+            out.append((xxhash.xxh32_intdigest(w.lower()) % quality.NAMES, xxhash.xxh32_intdigest(shape.encode("latin-1")) % quality.SHAPES))
+        return out
+
+    names, shapes = quality.index_vectors()
+    sums = np.zeros((quality.NAMES + quality.SHAPES, quality.WIDE))
+    for t in texts:
+        at = rows_of(t)
+        for i, (n, s) in enumerate(at):
+            for j in range(max(0, i - quality.NEAR), min(len(at), i + quality.NEAR + 1)):
+                if i != j:
+                    near = names[at[j][0]].astype(float) + shapes[at[j][1]]
+                    sums[n] += near
+                    sums[quality.NAMES + s] += near
+    got = quality.context_sums(texts, names, shapes)
+    assert np.allclose(got, sums, atol=1e-3)
+    v = quality.Vectors(got)
+    pools = []
+    for t in texts:
+        at = rows_of(t)
+        one = sum((v.names[n].astype(float) for n, _ in at), np.zeros(quality.WIDE)) / max(1, len(at))
+        two = sum((v.shapes[s].astype(float) for _, s in at), np.zeros(quality.WIDE)) / max(1, len(at))
+        pools.append(np.concatenate([one, two]))
+        assert np.allclose(v.pool(t, quality.Rows()), pools[-1], atol=1e-4)
+    x = np.array(pools)
+    net = quality.Network(x, np.array([i % 2 for i in range(len(x))], float))
+    for row, score in zip(x, net.scores(x)):
+        z = [(a - m) / s for a, m, s in zip(row, net.mean, net.scale)]
+        hidden = [math.tanh(sum(a * net.p[0][k, j] for k, a in enumerate(z)) + net.p[1][j]) for j in range(quality.HIDDEN)]
+        logit = (sum(h * w for h, w in zip(hidden, net.p[2])) + net.p[3][0]) / net.temperature
+        assert abs(1 / (1 + math.exp(-max(-40, min(40, logit)))) - score) < 1e-9
