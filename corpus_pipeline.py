@@ -1,8 +1,8 @@
 """The corpus pipeline: quality, near-duplicates, secrets, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir); its rows are written and read again as the next one's docs.
-SQL can express neither the classifier nor the fingerprints, so ORACLE_SQL is None and the stages
-are tested against brute force.
+SQL can express neither the classifier nor the fingerprints, so ORACLE_SQL is None; tests compare run()
+with plain programs for each stage.
 """
 
 from __future__ import annotations
@@ -27,8 +27,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
+    scratch, before = Scratch(spark), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = scratch.cut(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
