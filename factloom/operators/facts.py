@@ -140,7 +140,10 @@ def change_batches(changes: DataFrame, key: str, path: str, ts: str, gap: float,
         return pdf.sort_values([ts, path]).assign(_part=number)[[key, "_burst", "_part", path, ts]]
 
     kinds = dict(changes.dtypes)
-    parts = x.groupBy(key, "_burst").applyInPandas(cut, f"`{key}` {kinds[key]}, _burst long, _part long, `{path}` {kinds[path]}, `{ts}` {kinds[ts]}")
+    x = x.withColumn("_n", F.count("*").over(W.partitionBy(key, "_burst")))
+    whole = x.where(F.col("_n") < most).select(key, "_burst", F.lit(0).cast("long").alias("_part"), path, ts)  # too few to be closed early
+    long_ = x.where(F.col("_n") >= most).select(key, "_burst", path, ts).groupBy(key, "_burst")
+    parts = whole.unionByName(long_.applyInPandas(cut, f"`{key}` {kinds[key]}, _burst long, _part long, `{path}` {kinds[path]}, `{ts}` {kinds[ts]}"))
     out = parts.groupBy(key, "_burst", "_part").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.countDistinct(path).alias("paths"))
     return out.withColumn("batch", F.row_number().over(W.partitionBy(key).orderBy("_burst", "_part"))).select(key, "batch", "started", "ended", "paths")
 
