@@ -147,12 +147,37 @@ def resolve_bindings(uses: DataFrame, bindings: DataFrame) -> DataFrame:
     return out.select("use", "scope", "name", "line", "source", "bound_at", state.alias("state"))
 
 
-def all_edges(files: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
-    """Every pass over the facts of one generation."""
-    calls = call_edges(facts["calls"], facts["symbols"], facts["imports"])
-    parts = [
-        definitions(facts["symbols"]), import_edges(facts["imports"], files), calls, test_edges(calls), inheritance_edges(facts["inheritance"], facts["symbols"], facts["imports"]),
-        route_edges(compose_routes(facts["routes"], facts["mounts"])), query_edges(facts["queries"]), table_edges(facts["tables"]), queue_edges(facts["queues"]),
-        edge(facts["injects"], "owner", "name", "INJECTS"), edge(facts["env"], "owner", F.concat(F.lit("env:"), "name"), "READS_ENV"),
-    ]
-    return reduce(DataFrame.unionByName, parts).select(EDGE)
+#: each pass: the relationships that it makes, and the facts that it reads
+PASSES = {
+    "definitions": (("CONTAINS", "DEFINES"), ("symbols",)), "imports": (("IMPORTS",), ("imports",)),
+    "calls": (("CALLS", "POSSIBLE_CALLS", "UNRESOLVED_REFERENCE"), ("calls", "symbols", "imports")), "tests": (("TESTS",), ("calls", "symbols", "imports")),
+    "inheritance": (("EXTENDS",), ("inheritance", "symbols", "imports")), "routes": (("HANDLED_BY",), ("routes", "mounts")),
+    "queries": (("READS_TABLE", "WRITES_TABLE", "DEFINES_TABLE", "UNKNOWN"), ("queries",)), "tables": (("FOREIGN_KEY_TO",), ("tables",)),
+    "queues": (("PRODUCES_TO_QUEUE", "CONSUMES_FROM_QUEUE", "STATIC_QUEUE_LINKED"), ("queues",)), "injects": (("INJECTS",), ("injects",)), "env": (("READS_ENV",), ("env",)),
+}
+
+
+def passes(kinds: tuple[str, ...]) -> list[str]:
+    """Passes that make edges of the relationships named, or all."""
+    return [name for name, (made, _) in PASSES.items() if not kinds or set(made) & set(kinds)]
+
+
+def facts_for(kinds: tuple[str, ...]) -> list[str]:
+    """Kinds of facts that those passes read."""
+    return list(dict.fromkeys(f for name in passes(kinds) for f in PASSES[name][1]))
+
+
+def all_edges(files: DataFrame, facts: dict[str, DataFrame], kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Every pass over the facts of one generation, or those that the relationships named need."""
+    due = passes(kinds)
+    if "calls" in due or "tests" in due:
+        calls = call_edges(facts["calls"], facts["symbols"], facts["imports"])
+        calls = settle(calls) if "calls" in due and "tests" in due else calls  # both read them
+    make = {
+        "definitions": lambda: definitions(facts["symbols"]), "imports": lambda: import_edges(facts["imports"], files), "calls": lambda: calls, "tests": lambda: test_edges(calls),
+        "inheritance": lambda: inheritance_edges(facts["inheritance"], facts["symbols"], facts["imports"]), "routes": lambda: route_edges(compose_routes(facts["routes"], facts["mounts"])),
+        "queries": lambda: query_edges(facts["queries"]), "tables": lambda: table_edges(facts["tables"]), "queues": lambda: queue_edges(facts["queues"]),
+        "injects": lambda: edge(facts["injects"], "owner", "name", "INJECTS"), "env": lambda: edge(facts["env"], "owner", F.concat(F.lit("env:"), "name"), "READS_ENV"),
+    }
+    out = reduce(DataFrame.unionByName, [make[name]() for name in due]).select(EDGE)
+    return out.where(F.col("relationship").isin(*kinds)) if kinds else out

@@ -83,9 +83,10 @@ def filled(template: str, **columns: Column) -> Column:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, text, language."""
-    p = table(spark, sf_dir, "part", "p_partkey", "p_size").select(F.col("p_partkey").alias("k"), F.greatest(F.col("p_partkey") - 1, F.lit(0)).alias("b"), F.col("p_size").alias("s"), F.floor(F.col("p_partkey") / 4).alias("t"))
-    s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"), F.when(F.col("s_nationkey") % 3 == 0, "POST").otherwise("GET").alias("m"))
+    """path, text, language. Rows are dealt out by key: a small file of rows is one task, and makes many texts to parse."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = table(spark, sf_dir, "part", "p_partkey", "p_size").repartition(n, "p_partkey").select(F.col("p_partkey").alias("k"), F.greatest(F.col("p_partkey") - 1, F.lit(0)).alias("b"), F.col("p_size").alias("s"), F.floor(F.col("p_partkey") / 4).alias("t"))
+    s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").repartition(n, "s_suppkey").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"), F.when(F.col("s_nationkey") % 3 == 0, "POST").otherwise("GET").alias("m"))
     one = lambda df, path, text, language: df.select(filled(path, **{c: F.col(c) for c in df.columns}).alias("path"), filled(text, **{c: F.col(c) for c in df.columns}).alias("text"), F.lit(language).alias("language"))
     parts = [
         one(p, "shop/part_{k}.py", MODULE, "python"), one(p, "tests/test_part_{k}.py", TEST, "python"), spark.createDataFrame([("shop/base.py", BASE, "python")], "path string, text string, language string"),
@@ -96,14 +97,15 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str, *kinds: str) -> list[DataFrame]:
     """Fact tables of the kinds named; the files are parsed once."""
-    every = settle(E.parse(files(spark, sf_dir)))
+    every = settle(E.parse(files(spark, sf_dir), kinds))
     return [E.fact(every, k) for k in kinds]
 
 
-KINDS = ("calls", "symbols", "imports", "inheritance", "routes", "mounts", "queries", "tables", "queues", "injects", "env")
+KINDS = tuple(R.facts_for(()))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """All edges of all files, and the facts."""
-    found = dict(zip(KINDS, facts(spark, sf_dir, *KINDS)))
-    return settle(R.all_edges(files(spark, sf_dir), found)), found
+def edges(spark: SparkSession, sf_dir: str, *kinds: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Edges of all files, all or only of the relationships named, and the facts that they come from."""
+    names = R.facts_for(kinds)
+    found = dict(zip(names, facts(spark, sf_dir, *names)))
+    return settle(R.all_edges(files(spark, sf_dir), found, kinds)), found

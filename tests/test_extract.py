@@ -87,3 +87,49 @@ def test_telemetry(spark):
     assert (e.trace_id, e.http_method, e.table, e.relationship, e.duration_ms) == ("t", "GET", "stock", "WRITES_TABLE", 2.5)
     (g,) = telemetry.sql_log(spark.createDataFrame([("trace_id=t1 caller=f duration_ms=3 SELECT * FROM s.users WHERE id = 3",), ("noise",)], "value string")).collect()
     assert (g.trace_id, g.caller, g.table, g.sql) == ("t1", "f", "users", "SELECT * FROM s.users WHERE id = ?")
+
+
+def test_plain_texts_are_those_of_unparse():
+    import ast
+
+    lines = ["a", "a.b.c", "f(x, 'it\\'s', k=[1], *a, **b)", "f(x)(y).z", "(a + b).c", "t['a'](m)", "t[1, 2]", "t[1:2]", "{'a': b, **c}", "{}", "{'a': f(x)}", "u'x'", "1.5", "-1", "(1).real", "'\\n\\u00e9'", "None", "...", "b'x'", "lambda: 0", "f(x for x in y)", "f((yield))", "(x, y)", "a if b else c", "f(a := 1)", "f'{x}'", "f(*a)", "t[u'x']", "t[()]"]
+    for x in lines:
+        node = ast.parse(x).body[0].value
+        assert E.text_of(node) == ast.unparse(node), x
+    for x in ["", "a", "a, b=1", "a: int, b: List[str]=f(x)", "a, /, b", "*a, b=1", "a, **k", "a: 'x' = -1", "self, n: Optional[int]=None"]:
+        node = ast.parse(f"def f({x}): pass").body[0].args
+        assert E.text_of(node) == ast.unparse(node), x
+
+
+def test_only_kinds_asked_for():
+    from factloom.plans import corpus
+
+    text = corpus.MODULE.format(k=3, b=2, s=5, t=0)
+    every = E.python_facts("shop/part_3.py", text)
+    for kinds in [(k,) for k in E.KINDS["python"]] + [("tables", "env"), ("queues", "calls"), ("routes", "mounts", "injects")]:
+        assert sorted(map(str, (r for r in E.python_facts("shop/part_3.py", text, kinds) if r[0] in kinds))) == sorted(map(str, (r for r in every if r[0] in kinds)))
+    assert E.python_facts("a.py", "def f(n=\uff24epends(g)): pass\n", ("injects",))  # another writing of a name
+
+
+def test_only_passes_asked_for(spark):
+    """Edges of one relationship need no facts of the others, and are the same as among all."""
+    from factloom.operators import resolve as R
+    from factloom.plans import corpus
+
+    every, _ = corpus.edges(spark, "/root/testdata/sf0.001")
+    rows = sorted(map(str, every.collect()))
+    for kinds in [("READS_ENV", "INJECTS"), ("TESTS",), ("CALLS", "TESTS", "HANDLED_BY")]:
+        some, found = corpus.edges(spark, "/root/testdata/sf0.001", *kinds)
+        assert sorted(map(str, some.collect())) == [r for r in rows if any(f"relationship='{k}'" in r for k in kinds)]
+        assert list(found) == R.facts_for(kinds)
+    assert R.facts_for(("FOREIGN_KEY_TO",)) == ["tables"]
+
+
+def test_files_are_parsed_by_many_tasks(spark):
+    """The rows of parts are one split of one file."""
+    from pyspark.sql import functions as F
+
+    from factloom.plans import corpus
+
+    modules = corpus.files(spark, "/root/testdata/sf0.001").where("path like 'shop/part%'")
+    assert modules.groupBy(F.spark_partition_id()).count().count() == 4
