@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import settle
 from . import facts as O
 from . import search as S
 
@@ -98,9 +100,13 @@ def candidates(plan: Plan, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return best.join(usable.select(F.col("canonical_id").alias("symbol"), "path"), "symbol", "left").withColumn("path", F.coalesce("path", F.lit("")))
 
 
-def get_context(plan: Plan, symbols: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The packet: symbol, path, layer, score, tokens, accepted, reason. chunks: symbol, content."""
-    found = candidates(plan, symbols, edges)
+def get_context(plan: Plan, symbols: DataFrame, edges: DataFrame, chunks: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The packet: symbol, path, layer, score, tokens, accepted, reason.
+
+    chunks: symbol, content; or a function that makes them for the candidates (symbol), which are few.
+    """
+    found = settle(candidates(plan, symbols, edges))
+    chunks = chunks(found) if callable(chunks) else chunks
     sized = found.join(chunks.select("symbol", T.estimated_tokens(T.snippet(F.col("content"))).alias("tokens")), "symbol", "left").withColumn("tokens", F.coalesce("tokens", F.lit(1).cast("long")))
     ranked = S.penalized(sized, "symbol", "score", {"path": 100}).drop("score").withColumnRenamed("final", "score").withColumn("task", F.lit(plan.digest))
     chosen = S.budget_select(ranked, "task", "symbol", "tokens", "score", "layer", plan.budget, 350)
@@ -109,8 +115,10 @@ def get_context(plan: Plan, symbols: DataFrame, edges: DataFrame, chunks: DataFr
 
 def trust(packet: DataFrame, edges: DataFrame, excluded: list[str]) -> DataFrame:
     """supported, unsupported, excluded: what of a packet has evidence, and what should not be there."""
-    known = edges.where("confidence <> 'UNKNOWN'").select(F.col("source").alias("symbol")).unionAll(edges.select("target")).distinct().withColumn("_k", F.lit(1))
-    x = packet.where("accepted").join(known, "symbol", "left")
+    chosen = settle(packet.where("accepted"))  # few, so the ends of all edges need not be made distinct
+    known = edges.where("confidence <> 'UNKNOWN'").select(F.col("source").alias("symbol")).unionAll(edges.select("target"))
+    known = known.join(chosen.select("symbol"), "symbol", "left_semi").distinct().withColumn("_k", F.lit(1))
+    x = chosen.join(known, "symbol", "left")
     bad = F.col("symbol").isin(*excluded) if excluded else F.lit(False)
     return x.agg(F.count(F.when(F.col("_k") == 1, 1)).alias("supported"), F.count(F.when(F.col("_k").isNull(), 1)).alias("unsupported"), F.count(F.when(bad, 1)).alias("excluded"))
 
