@@ -165,7 +165,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     first = tiles.where("place = 0").withColumn("one", F.lit(1)).drop("place")  # one row of at most tile vectors
     seeded = asked.select(F.col("ids").alias("qids"), F.col("data").alias("qdata"), F.lit(1).alias("one")).join(F.broadcast(first), "one")
     seeded = scratch.cut(seeded.select("qids", "qdata", "ids", "data").mapInArrow(start, "qids binary, qdata binary, least binary, n_tiles int"))
-    pairs = seeded.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1))).join(tiles, "place")
+    # a block has a row for each tile here: by its size on disk Spark would take the blocks for small and broadcast all these copies
+    pairs = seeded.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1))).hint("merge").join(tiles, "place")
     scored = pairs.select("qids", "qdata", "ids", "data", "least").mapInArrow(verify, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

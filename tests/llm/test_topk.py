@@ -43,3 +43,12 @@ def test_products_beyond_doubles(spark):
 def test_few_or_none(spark):
     assert run(spark, rows()[:3], every=1) == slow(rows()[:3], 1, 5)
     assert run(spark, []) == []
+
+
+def test_copies_of_blocks_are_not_broadcast(spark):
+    """Only lists of places and one tile may be; a block's copies, one a tile, are shuffled."""
+    df = spark.createDataFrame(rows(), "vec_id long, embedding array<double>")
+    out = topk.top_k(df, every=10, tile=16, block=7)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [place" in plan and "BroadcastHashJoin [place" not in plan
